@@ -30,13 +30,15 @@ from starloom.llm.common import discard, materialise, scratch, ship
 WINDOW = 16
 #: Chunks hold 64 to 1024 ids, about 64 + 256 on average.
 LEAST, MOST, MASK = 64, 1024, np.uint64(255 << 40)
-#: Entries of the per-worker memo of encoded words; words beyond it are encoded anew in each batch.
-MEMO = 400_000
+#: Entries of a worker's memos of encoded words and of parts of words; what is beyond them is encoded anew in each batch.
+MEMO, PARTS = 300_000, 800_000
 #: Rows of a batch that are encoded together.
 ROWS = 512
 
 _SPACE_BEFORE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
+#: Parts of a word at which the pre-tokeniser surely cuts too: letters of old blocks, marks other than apostrophes, single line feeds.
+_SUB = re.compile(r"\n| ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f]+| ?[.,!?;:$%&*#|\"()\[\]/+=<>-]+")
 
 
 class WordMemo:
@@ -52,35 +54,50 @@ class WordMemo:
     def __init__(self, tokenizer, wide: bool):
         self.tokenizer, self.kind = tokenizer, "<u4" if wide else "<u2"
         self.memo: dict[str, bytes] = {}
+        self.subs: dict[str, bytes] = {}
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that the memo lacks, through the memo of their parts."""
+        subs, cut, need = self.subs, [], set()
+        for w in words:
+            parts = _SUB.findall(w)
+            if sum(map(len, parts)) != len(w) or "\n\n" in w or w[:2] == " \n" or w[:1] == "\n":
+                parts = [w]
+            cut.append(parts)
+            need.update(parts)
+        new = [k for k in need if k not in subs]
+        fresh = dict(zip(new, self._encode(new), strict=True))
+        for k in new[: max(0, PARTS - len(subs))]:
+            subs[k] = fresh[k]
+        if len(subs) < PARTS:
+            return [b"".join(map(subs.__getitem__, p)) for p in cut]
+        return [b"".join(fresh[k] if k in fresh else subs[k] for k in p) for p in cut]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        memo, cut, odd = self.memo, [], []
+        memo, cut = self.memo, []
         for t in texts:
             if _SPACE_BEFORE.search(t):
-                odd.append(parts := [p for p in _CUT.split(t)])
-                parts[1:] = [p[1:] for p in parts[1:]]
-                cut.append(parts)
+                parts = _CUT.split(t)
+                cut.append([parts[0], *[p[1:] for p in parts[1:]]])
             else:
                 cut.append(t.split(" "))
         firsts = list({p[0] for p in cut})
-        heads = dict(zip(firsts, self._encode(firsts), strict=True))
+        heads = dict(zip(firsts, self._words(firsts), strict=True))
         need = set()
         for p in cut:
             need.update(p[1:])
-        need.difference_update(memo)
-        new = list(need)
-        fresh = dict(zip(new, self._encode([" " + p for p in new]), strict=True))
+        new = [k for k in need if k not in memo]
+        fresh = dict(zip(new, self._words([" " + p for p in new]), strict=True))
         if len(memo) + len(fresh) <= MEMO:
             memo.update(fresh)
             look = memo.__getitem__
         else:
-            room = MEMO - len(memo)
-            for k in new[:room]:
+            for k in new[: MEMO - len(memo)]:
                 memo[k] = fresh[k]
-            look = lambda k: fresh[k] if k in fresh else memo[k]
+            look = lambda k: memo[k] if k in memo else fresh[k]
         return [heads[p[0]] + b"".join(map(look, p[1:])) for p in cut]
 
 
