@@ -25,15 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from starloom.llm.common import discard, materialise, scratch, ship
+from starloom.llm.common import discard, materialise, scratch, ship, slices, through_memo
 
 WINDOW = 16
 #: Chunks hold 64 to 1024 ids, about 64 + 256 on average.
 LEAST, MOST, MASK = 64, 1024, np.uint64(255 << 40)
 #: Entries of a worker's memos of encoded words and of parts of words; what is beyond them is encoded anew in each batch.
 MEMO, PARTS = 300_000, 800_000
-#: Rows of a batch that are encoded together.
-ROWS = 512
 
 _SPACE_BEFORE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -61,23 +59,16 @@ class WordMemo:
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words that the memo lacks, through the memo of their parts."""
-        subs, cut, need = self.subs, [], set()
+        cut = []
         for w in words:
             parts = _SUB.findall(w)
             if sum(map(len, parts)) != len(w) or "\n\n" in w or w[:2] == " \n" or w[:1] == "\n":
                 parts = [w]
             cut.append(parts)
-            need.update(parts)
-        new = [k for k in need if k not in subs]
-        fresh = dict(zip(new, self._encode(new), strict=True))
-        for k in new[: max(0, PARTS - len(subs))]:
-            subs[k] = fresh[k]
-        if len(subs) < PARTS:
-            return [b"".join(map(subs.__getitem__, p)) for p in cut]
-        return [b"".join(fresh[k] if k in fresh else subs[k] for k in p) for p in cut]
+        return through_memo(cut, self.subs, PARTS, self._encode)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        memo, cut = self.memo, []
+        cut = []
         for t in texts:
             if _SPACE_BEFORE.search(t):
                 parts = _CUT.split(t)
@@ -86,19 +77,8 @@ class WordMemo:
                 cut.append(t.split(" "))
         firsts = list({p[0] for p in cut})
         heads = dict(zip(firsts, self._words(firsts), strict=True))
-        need = set()
-        for p in cut:
-            need.update(p[1:])
-        new = [k for k in need if k not in memo]
-        fresh = dict(zip(new, self._words([" " + p for p in new]), strict=True))
-        if len(memo) + len(fresh) <= MEMO:
-            memo.update(fresh)
-            look = memo.__getitem__
-        else:
-            for k in new[: MEMO - len(memo)]:
-                memo[k] = fresh[k]
-            look = lambda k: memo[k] if k in memo else fresh[k]
-        return [heads[p[0]] + b"".join(map(look, p[1:])) for p in cut]
+        rest = through_memo([p[1:] for p in cut], self.memo, MEMO, lambda new: self._words([" " + p for p in new]))
+        return [heads[p[0]] + r for p, r in zip(cut, rest, strict=True)]
 
 
 @lru_cache(maxsize=4)
@@ -168,8 +148,7 @@ def _encoder(path: str, end_id: int | None):
         end = b"" if end_id is None else np.array([end_id], memo.kind).tobytes()
         size = 4 if wide else 2
         for whole in batches:
-            for k in range(0, whole.num_rows, ROWS):
-                b = whole.slice(k, ROWS)
+            for b in slices(whole):
                 out = [[] for _ in _STAGED]
                 for doc, got in zip(b.column(0).to_pylist(), memo.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
                     stream = got + end
