@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from starloom.llm.language_id import op8_language_id
+from starloom.llm.license_scan import op10_license_scan
 from starloom.llm.line_dedup import OP4_SQL, op4_line_dedup
+from starloom.llm.sentencepiece_stream import op9_sentencepiece
 from starloom.llm.token_store import op1_token_store
 
 
@@ -10,6 +13,9 @@ def queries() -> dict:
     return {
         "op1_token_store": op1_token_store,
         "op4_line_dedup": op4_line_dedup,
+        "op8_language_id": op8_language_id,
+        "op9_sentencepiece": op9_sentencepiece,
+        "op10_license_scan": op10_license_scan,
     }
 
 
