@@ -44,24 +44,25 @@ def _letters() -> np.ndarray:
 
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of all n-grams, document of each, whether a document has a letter)."""
-    code = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass") + b"\n\0\0\0", np.uint32)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    code = np.frombuffer("".join(f"\n{t}\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
     table = _letters()
     low = np.where(code < len(table), table[np.minimum(code, len(table) - 1)], code)
     letter = low > 0
     has = np.bincount(owner[letter], minlength=len(texts)) > 0
     keep = letter.copy()
-    keep[1:] |= letter[:-1]  # the first of a run of gaps stays
+    keep[1:] |= letter[:-1] | (owner[1:] != owner[:-1])  # the first of a run of gaps stays
+    keep[:1] = True
     low, owner = low[keep], owner[keep]
     if len(low) < N:
         return np.array([], np.uint64), np.array([], np.int32), has
-    # a gap between documents keeps n-grams apart: those that cross are masked
     n = len(low) - N + 1
     h = np.zeros(n, np.uint64)
     for k in range(N):
         h = (h ^ low[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
+    # those that cross documents go
     one = owner[:n] == owner[N - 1 : N - 1 + n]
     return h[one], owner[:n][one], has
 

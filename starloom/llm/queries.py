@@ -5,6 +5,7 @@ from __future__ import annotations
 from starloom.llm.language_id import op8_language_id
 from starloom.llm.license_scan import op10_license_scan
 from starloom.llm.line_dedup import OP4_SQL, op4_line_dedup
+from starloom.llm.minhash_dedup import op7_minhash_dedup
 from starloom.llm.sentencepiece_stream import op9_sentencepiece
 from starloom.llm.token_store import op1_token_store
 
@@ -13,6 +14,7 @@ def queries() -> dict:
     return {
         "op1_token_store": op1_token_store,
         "op4_line_dedup": op4_line_dedup,
+        "op7_minhash_dedup": op7_minhash_dedup,
         "op8_language_id": op8_language_id,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_license_scan": op10_license_scan,
