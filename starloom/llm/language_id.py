@@ -149,7 +149,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     return Model(languages, table, max(languages, key=lambda x: (sizes[x], x)))
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list | None = None) -> DataFrame:
     """(doc_id, lang_pred, score, *keep) for every row: whole texts, null or letterless ones are ``und`` with score 0."""
     spark = docs.sparkSession
     ship(spark)

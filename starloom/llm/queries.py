@@ -6,14 +6,18 @@ from starloom.llm.language_id import op8_language_id
 from starloom.llm.license_scan import op10_license_scan
 from starloom.llm.line_dedup import OP4_SQL, op4_line_dedup
 from starloom.llm.minhash_dedup import op7_minhash_dedup
+from starloom.llm.mixture import OP5_SQL, op5_mixture
 from starloom.llm.sentencepiece_stream import op9_sentencepiece
 from starloom.llm.token_store import op1_token_store
+from starloom.llm.url_filter import op6_url_filter
 
 
 def queries() -> dict:
     return {
         "op1_token_store": op1_token_store,
         "op4_line_dedup": op4_line_dedup,
+        "op5_mixture": op5_mixture,
+        "op6_url_filter": op6_url_filter,
         "op7_minhash_dedup": op7_minhash_dedup,
         "op8_language_id": op8_language_id,
         "op9_sentencepiece": op9_sentencepiece,
@@ -24,4 +28,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_line_dedup": OP4_SQL,
+        "op5_mixture": OP5_SQL,
     }
