@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from starloom.llm.embedding_dedup import op3_embedding_dedup
 from starloom.llm.language_id import op8_language_id
 from starloom.llm.license_scan import op10_license_scan
 from starloom.llm.line_dedup import OP4_SQL, op4_line_dedup
 from starloom.llm.minhash_dedup import op7_minhash_dedup
 from starloom.llm.mixture import OP5_SQL, op5_mixture
+from starloom.llm.pivot_index import OP2_SQL, op2_topk_search
 from starloom.llm.sentencepiece_stream import op9_sentencepiece
 from starloom.llm.token_store import op1_token_store
 from starloom.llm.url_filter import op6_url_filter
@@ -15,6 +17,8 @@ from starloom.llm.url_filter import op6_url_filter
 def queries() -> dict:
     return {
         "op1_token_store": op1_token_store,
+        "op2_topk_search": op2_topk_search,
+        "op3_embedding_dedup": op3_embedding_dedup,
         "op4_line_dedup": op4_line_dedup,
         "op5_mixture": op5_mixture,
         "op6_url_filter": op6_url_filter,
@@ -27,6 +31,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_topk_search": OP2_SQL,
         "op4_line_dedup": OP4_SQL,
         "op5_mixture": OP5_SQL,
     }
