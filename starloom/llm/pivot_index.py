@@ -68,6 +68,13 @@ def _norms(v: np.ndarray) -> np.ndarray:
     return (f * f).sum(1)
 
 
+def bounds(q: np.ndarray, pivots: np.ndarray, c: pd.DataFrame) -> np.ndarray:
+    """No vector of an annulus scores more against a query (one row each); rounded up against rounding errors."""
+    d = np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] - 2 * q @ pivots.T + (pivots**2).sum(1)[None, :]))[:, c["pivot"].to_numpy()]
+    least = np.maximum(0, np.maximum(c["lo"].to_numpy() - d, d - c["hi"].to_numpy()) - 1e-3)
+    return ((q**2).sum(1)[:, None] + c["norm2"].to_numpy() - least**2) / 2 + 1
+
+
 class PivotIndex:
     """Index of (vec_id, v): whole-number vectors. Built once, searched by blocks of queries."""
 
@@ -114,13 +121,6 @@ class PivotIndex:
         p = d2.argmin(1)
         return p, np.sqrt(((v - pivots[p]) ** 2).sum(1))
 
-    def bounds(self, q: np.ndarray) -> np.ndarray:
-        """No vector of an annulus scores more against a query (one row each); rounded up against rounding errors."""
-        c = self.catalogue
-        d = np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] - 2 * q @ self.pivots.T + (self.pivots**2).sum(1)[None, :]))[:, c["pivot"].to_numpy()]
-        least = np.maximum(0, np.maximum(c["lo"].to_numpy() - d, d - c["hi"].to_numpy()) - 1e-3)
-        return ((q**2).sum(1)[:, None] + c["norm2"].to_numpy() - least**2) / 2 + 1
-
     def _answers(self, visits: DataFrame, k: int) -> DataFrame:
         """Best rows of each visited block: visits are (query_id, q, floor, qb, pivot, annulus, block)."""
         c = self.spark.createDataFrame(self.catalogue[["pivot", "annulus", "blocks"]])
@@ -156,7 +156,7 @@ class PivotIndex:
             return self.spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
         n = queries.count()
         qb = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // QUERIES)))).cast("int")
-        dim, cat, bounds = self.dim, self.catalogue, self.bounds
+        dim, cat, pivots = self.dim, self.catalogue, self.pivots
         sizes = cat["n"].to_numpy()
 
         def visit(first: bool):
@@ -165,7 +165,7 @@ class PivotIndex:
                     if not len(pdf):
                         continue
                     q = _same(_stack(pdf["q"].tolist()), dim).astype(np.float64)
-                    ub = bounds(q)
+                    ub = bounds(q, pivots, cat)
                     out = []
                     for i in range(len(pdf)):
                         order = np.argsort(-ub[i], kind="stable")
