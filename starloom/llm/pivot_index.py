@@ -125,7 +125,8 @@ class PivotIndex:
         """Best rows of each visited block: visits are (query_id, q, floor, qb, pivot, annulus, block)."""
         c = self.spark.createDataFrame(self.catalogue[["pivot", "annulus", "blocks"]])
         rows = self.rows.join(F.broadcast(c), ["pivot", "annulus"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
-        wanted = visits.select("pivot", "annulus", "block", "qb").distinct()
+        visits = materialise(visits, "visits")
+        wanted = visits.select(*[F.col(c).alias(c) for c in ("pivot", "annulus", "block", "qb")]).distinct()
         rows = rows.join(wanted, ["pivot", "annulus", "block"])
 
         def best(key, left, right):
@@ -143,7 +144,7 @@ class PivotIndex:
             return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
         keys = ["pivot", "annulus", "block", "qb"]
-        return visits.groupBy(*keys).cogroup(rows.select("vec_id", "v", *keys).groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score long")
+        return visits.groupBy(*keys).cogroup(rows.select("vec_id", "v", *[F.col(c).alias(c) for c in keys]).groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score long")
 
     @staticmethod
     def _top(found: DataFrame, k: int) -> DataFrame:
