@@ -10,8 +10,8 @@
    centre, twice with different centres, and confirmed links are joined to
    components; lists that lie in one component are then skipped, as no further
    link can change the result. What is left is matched in full between
-   components: short lists by a join, long ones in tiles of at most ``TILE``
-   classes, each pair only under its first common token.
+   components: short lists many at a time, long ones in tiles of at most
+   ``TILE`` classes, each pair only under its first common token.
 4. Pairs with at least ``T`` equal coordinates are confirmed on the full sets.
 
 Nothing is capped. At a true similarity of 0.75 a pair agrees in T = 35 of
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from starloom.llm.common import components, materialise, ship, slices
 
 K, T, WORDS = 64, 35, 5
-TILE, SHORT = 1024, 48
+TILE, SHORT, GROUP = 1024, 256, 4096
 #: Entries of a worker's memo of word hashes.
 MEMO = 400_000
 
@@ -133,32 +133,25 @@ def _confirm(percent: int):
     return run
 
 
-def _tile_pairs(kind):
+def _tile_pairs(pdf):
     """Pairs of different components with at least T equal coordinates, under their first common token only."""
-
-    def run(key, pdf):
-        import pandas as pd
-
-        left, right = pdf[pdf.side != 1], pdf[pdf.side != 0]
-        out_a, out_b = [], []
-        if len(left) and len(right):
-            same = key[1] == key[2]
-            sl, sr = np.stack(left.sig.to_numpy()), np.stack(right.sig.to_numpy())
-            cl, cr = left.c.to_numpy(), right.c.to_numpy()
-            il, ir = left.rep.to_numpy(), right.rep.to_numpy()
-            pre_l, pre_r = [set(p.tolist()) for p in left.pre], [set(p.tolist()) for p in right.pre]
-            for i in range(len(left)):
-                ok = (cr != cl[i]) & ((ir > il[i]) if same else (ir != il[i]))
-                j = np.flatnonzero(ok)
-                if len(j):
-                    j = j[(sr[j] == sl[i]).sum(1) >= T]
-                for k in j.tolist():
-                    if min(pre_l[i] & pre_r[k]) == key[0]:
-                        out_a.append(min(il[i], ir[k]))
-                        out_b.append(max(il[i], ir[k]))
-        return pd.DataFrame({"a": np.array(out_a, "int64"), "b": np.array(out_b, "int64")})
-
-    return run
+    import pandas as pd
+
+    out_a, out_b = [], []
+    sig = np.stack(pdf["sig"].to_numpy()) if len(pdf) else np.empty((0, K), np.int64)
+    pre = [frozenset(p.tolist()) for p in pdf["pre"]]
+    rep, c, side = pdf["rep"].to_numpy(), pdf["c"].to_numpy(), pdf["side"].to_numpy()
+    for (token, i, j), at in pdf.groupby(["token", "i", "j"]).indices.items():
+        left, right = at[side[at] != 1], at[side[at] != 0]
+        for x in left.tolist():
+            y = right[(c[right] != c[x]) & ((rep[right] > rep[x]) | (i != j))]
+            if len(y):
+                y = y[(sig[y] == sig[x]).sum(1) >= T]
+            for z in y.tolist():
+                if min(pre[x] & pre[z]) == token:
+                    out_a.append(min(rep[x], rep[z]))
+                    out_b.append(max(rep[x], rep[z]))
+    return pd.DataFrame({"a": np.array(out_a, "int64"), "b": np.array(out_b, "int64")})
 
 
 class Linker:
@@ -172,13 +165,14 @@ class Linker:
         full = self.profiles.where("n_shingles > 0 AND doc_id IS NOT NULL")
         self.classes = materialise(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
 
-    def postings(self) -> DataFrame:
-        """(rep, token, pre): the prefix of each class that can have a partner."""
+    def postings(self) -> tuple[DataFrame, DataFrame]:
+        """(rep, token) and (rep, pre): the prefixes of classes that can have a partner."""
         tokens = self.classes.select("rep", F.explode("sig").alias("token"))
         shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
         mine = tokens.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("all"))
         pre = mine.where(F.size("all") >= T).select("rep", F.slice(F.col("all.token"), 1, F.size("all") - T + 1).alias("pre"))
-        return materialise(pre.select("rep", F.explode("pre").alias("token")), "postings"), materialise(pre, "prefixes")
+        pre = materialise(pre, "prefixes")
+        return pre.select("rep", F.explode("pre").alias("token")), pre
 
     def matched(self, pairs: DataFrame) -> DataFrame:
         """Pairs with at least T equal coordinates."""
@@ -210,15 +204,15 @@ class Linker:
         return posts.join(centre, "token").where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
 
     def rest(self, open_: DataFrame, prefixes: DataFrame) -> DataFrame:
-        short = open_.where(F.col("n") <= SHORT)
-        l, r = short.select("token", F.col("rep").alias("a"), F.col("c").alias("ca")), short.select("token", F.col("rep").alias("b"), F.col("c").alias("cb"))
-        pairs = self.matched(l.join(r, "token").where("a < b AND ca <> cb").select("a", "b"))
-        long_ = open_.where(F.col("n") > SHORT).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-        dealt = long_.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        """Matches between components: short lists many at a time, long ones in pairs of tiles."""
+        tiles = F.ceil(F.col("n") / TILE).cast("int")
+        dealt = open_.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         side = F.when(F.col("tile") == F.col("other"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1)
-        dealt = dealt.select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), side.alias("side"), "rep", "c")
+        dealt = dealt.select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), side.alias("side"), "rep", "c", "n")
         dealt = dealt.join(self.classes.select("rep", "sig"), "rep").join(prefixes, "rep")
-        return pairs.unionByName(dealt.groupBy("token", "i", "j").applyInPandas(_tile_pairs(None), "a long, b long"))
+        bins = max(1, open_.count() // GROUP)
+        bin_ = F.when(F.col("n") <= SHORT, F.pmod(F.xxhash64("token"), F.lit(bins))).otherwise(F.xxhash64("token", "i", "j"))
+        return dealt.withColumn("bin", bin_).groupBy("bin").applyInPandas(_tile_pairs, "a long, b long")
 
     def components(self) -> DataFrame:
         """(rep, c): classes with links and their component."""
