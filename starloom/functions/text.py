@@ -43,14 +43,20 @@ def html_unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
-#: Words that say what kind of franchise a name is (fixed values).
-FRANCHISE_WORDS = ("collection", "saga", "universe", "franchise", "trilogy", "series", "anthology", "films", "film", "movies", "movie", "cycle", "duology", "tetralogy", "quadrilogy", "pentalogy", "hexalogy", "univers", "trilogie", "serie", "série")
+#: Generic words of franchise names, without accents (fixed values).
+FRANCHISE_WORDS = (
+    "collection", "universe", "franchise", "saga",
+    "trilogy", "duology", "tetralogy", "quadrilogy", "pentalogy", "hexalogy", "heptalogy",
+    "film", "films", "movie", "movies", "series", "cinematic",
+    "univers", "trilogie", "duologie", "tetralogie", "quadrilogie",
+    "pentalogie", "hexalogie", "heptalogie", "serie", "series", "cinematographique",
+)
 
 
 def strip_words(normalized: Column | str, words: tuple[str, ...] = FRANCHISE_WORDS) -> Column:
-    """Drop whole words from a normalised name, unless nothing would be left."""
+    """Drop whole words, accents aside, from a normalised name, unless nothing would be left."""
     parts = F.split(col(normalized), " ")
-    kept = F.array_join(F.filter(parts, lambda w: ~w.isin(*words)), " ")
+    kept = F.array_join(F.filter(parts, lambda w: ~F.translate(w, "éèêâàùôî", "eeeaauoi").isin(*words)), " ")
     return F.when(kept == "", col(normalized)).otherwise(kept)
 
 
@@ -101,16 +107,21 @@ def duration_text(seconds: Column | str) -> Column:
     return F.when(s == 0, "0 seconds").otherwise(F.concat_ws(", ", *said))
 
 
-#: Unicode scripts in the order in which they are tried (fixed values).
-SCRIPTS = ("Hangul", "Hiragana", "Katakana", "Han", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Bengali", "Tamil", "Telugu", "Kannada", "Malayalam", "Thai", "Georgian", "Armenian", "Ethiopic", "Khmer")
+#: Families of scripts in the order in which they are tried, with the scripts that show them (fixed values).
+SCRIPTS = {
+    "Hangul": r"\p{IsHangul}", "Japanese": r"\p{IsHiragana}\p{IsKatakana}", "Chinese": r"\p{IsHan}", "Cyrillic": r"\p{IsCyrillic}", "Greek": r"\p{IsGreek}",
+    "Armenian": r"\p{IsArmenian}", "Georgian": r"\p{IsGeorgian}", "Arabic": r"\p{IsArabic}", "Hebrew": r"\p{IsHebrew}", "Devanagari": r"\p{IsDevanagari}",
+    "Bengali": r"\p{IsBengali}", "Tamil": r"\p{IsTamil}", "Telugu": r"\p{IsTelugu}", "Kannada": r"\p{IsKannada}", "Malayalam": r"\p{IsMalayalam}",
+    "Thai": r"\p{IsThai}", "Ethiopic": r"\p{IsEthiopic}", "Khmer": r"\p{IsKhmer}", "Sinhala": r"\p{IsSinhala}",
+}
 
 
 def script(x: Column | str) -> Column:
-    """The first listed script that occurs; ``Latin`` for other text, '' for blank text."""
+    """The first family that occurs; ``Latin`` for other text, '' for blank or null text."""
     c = col(x)
     out = F.when(c.isNull() | (F.trim(c) == ""), "")
-    for s in SCRIPTS:
-        out = out.when(c.rlike(rf"\p{{Is{s}}}"), s)
+    for name, chars in SCRIPTS.items():
+        out = out.when(c.rlike(f"[{chars}]"), name)
     return out.otherwise("Latin")
 
 

@@ -45,19 +45,32 @@ def flags_to_rows(df: DataFrame, id_col: str, flags: Sequence[tuple[str, str]])
     return df.select(id_col, F.explode(F.filter(items, lambda x: x["on"])).alias("x")).select(id_col, "x.VALUE", "x.DISPLAY_ORDER")
 
 
-#: Aspect ratios that are kept, and near ones that are refused (fixed values).
-RATIOS = ("1.19", "1.33", "1.37", "1.43", "1.66", "1.75", "1.78", "1.85", "2.00", "2.20", "2.35", "2.39", "2.76")
-REFUSED_RATIOS = ("1.77", "1.89", "1.90")
+#: Canonical aspect ratios and other spellings than ``x,yz``, ``x.yz``, ``x:yz``, ``x.yz:1`` (fixed values).
+ASPECT_RATIOS = {
+    "1.33": ("4:3", "4/3", "4x3", "133:100", "fullscreen", "full screen"),
+    "1.37": ("137:100", "academy", "academy ratio", "academy aperture"),
+    "1.43": ("imax", "imax 70mm", "imax 1.43"),
+    "1.66": ("5:3", "15:9", "166:100", "european widescreen"),
+    "1.78": ("16:9", "16/9", "16x9", "178:100", "hdtv"),
+    "1.85": ("widescreen", "flat", "us widescreen", "185:100"),
+    "2.00": ("2:1", "univisium"),
+    "2.20": ("70mm widescreen",),
+    "2.35": ("235:1",),
+    "2.39": ("239:1", "21:9", "modern anamorphic"),
+    "2.40": ("240:1",),
+    "2.55": ("255:1", "cinemascope 55"),
+    "2.76": ("ultra panavision", "mgm camera 65"),
+}
 
 
 def aspect_ratio(x: Column | str) -> Column:
-    """``16:9`` and ``2,39:1`` as canonical text; null for what is no kept ratio."""
-    c = F.replace(F.regexp_replace(F.col(x) if isinstance(x, str) else x, r"\s", ""), F.lit(","), F.lit("."))
-    a, b = F.regexp_extract(c, r"^([0-9]+(?:\.[0-9]+)?)[:/xX]([0-9]+(?:\.[0-9]+)?)$", 1), F.regexp_extract(c, r"^([0-9]+(?:\.[0-9]+)?)[:/xX]([0-9]+(?:\.[0-9]+)?)$", 2)
-    plain = F.regexp_extract(c, r"^([0-9]+\.[0-9]+)$", 1)
-    n = F.when(a != "", F.when(b.cast("double") != 0, a.cast("double") / b.cast("double"))).when(plain != "", plain.cast("double"))
-    said = F.format_string("%.2f", F.round(n, 2))
-    return F.when(n.isNotNull() & said.isin(*RATIOS), said)
+    """The canonical ratio of a raw entry; null for what has none (1.77, 1.89 and 1.90 among them)."""
+    c = F.regexp_replace(F.lower(F.trim(F.col(x) if isinstance(x, str) else x)), "^[\\"']+|[\\"']+$", "")
+    plain = F.regexp_replace(F.regexp_replace(c, r"^(\d)[,:](\d\d)(:1)?$", "$1.$2"), r"^(\d\.\d\d):1$", "$1")
+    out = F.when(plain.isin(*ASPECT_RATIOS), plain)
+    for name, spelled in ASPECT_RATIOS.items():
+        out = out.when(c.isin(*spelled), name)
+    return out
 
 
 def normalise_or_reject(df: DataFrame, value: str, canonical: Column) -> tuple[DataFrame, DataFrame]:
