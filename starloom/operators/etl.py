@@ -65,7 +65,7 @@ ASPECT_RATIOS = {
 
 def aspect_ratio(x: Column | str) -> Column:
     """The canonical ratio of a raw entry; null for what has none (1.77, 1.89 and 1.90 among them)."""
-    c = F.regexp_replace(F.lower(F.trim(F.col(x) if isinstance(x, str) else x)), "^[\\"']+|[\\"']+$", "")
+    c = F.regexp_replace(F.lower(F.trim(F.col(x) if isinstance(x, str) else x)), r"""^["']+|["']+$""", "")
     plain = F.regexp_replace(F.regexp_replace(c, r"^(\d)[,:](\d\d)(:1)?$", "$1.$2"), r"^(\d\.\d\d):1$", "$1")
     out = F.when(plain.isin(*ASPECT_RATIOS), plain)
     for name, spelled in ASPECT_RATIOS.items():

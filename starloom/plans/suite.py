@@ -1,17 +1,531 @@
-"""Registered queries of the engine's operators, each with the SQL that DuckDB runs on the same tables."""
+"""Registered queries of the engine's operators, each with the SQL that DuckDB runs on the same tables.
+
+Orders stand for titles, suppliers for people, lines for credits, parts for
+companies and names, documents for localised texts, events for logs and images.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from starloom.catalog import orders_catalog
+from starloom.functions import matching, text
+from starloom.operators import assertions, cache, etl, questions, relational as rel, resolve as res, views
+from starloom.plans import dialect, engine
+from starloom.session import Tables
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable[[Tables], DataFrame]):
+        _QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _QUERIES["page_with_total"](spark, sf_dir)
+
+
+# --- scans, projections, predicates
+
+
+@query("point_lookup", "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM orders WHERE o_orderkey = 7")
+def _(t):
+    return views.Engine(orders_catalog(), lambda n: getattr(t, n)).point("order", 7)
+
+
+@query("batched_id_fetch", "SELECT DISTINCT p_partkey, p_name FROM part WHERE p_partkey IN (3, 5, 5, 8, 100)")
+def _(t):
+    ids = t._spark.createDataFrame([(x,) for x in (3, 5, 5, 8, 100)], "p_partkey long").distinct()
+    return t.part.select("p_partkey", "p_name").join(F.broadcast(ids), "p_partkey", "left_semi")
+
+
+@query("result_columns_contract", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def _(t):
+    return t.supplier.select(*orders_catalog().entities["supplier"].columns)
+
+
+@query("strict_year_filter", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(min(year(o_orderdate)) AS INT) AS lo, CAST(max(year(o_orderdate)) AS INT) AS hi FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1998-01-01'")
+def _(t):
+    x = t.orders.where("o_orderdate >= TIMESTAMP_NTZ '1996-01-01' AND o_orderdate < TIMESTAMP_NTZ '1998-01-01'")
+    return x.agg(F.count("*").alias("n"), F.min(F.year("o_orderdate")).alias("lo"), F.max(F.year("o_orderdate")).alias("hi"))
+
+
+@query("not_in_null_semantics", "SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN l_quantity > 25 THEN l_returnflag END AS ch FROM lineitem) WHERE ch NOT IN ('A', 'N')")
+def _(t):
+    return t.lineitem.select(F.when(F.col("l_quantity") > 25, F.col("l_returnflag")).alias("ch")).where(~F.col("ch").isin("A", "N")).agg(F.count("*").alias("n"))
+
+
+@query("negated_conjunction_3vl", "SELECT doc, ch, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN l_linenumber > 1 THEN CAST(l_linenumber = 2 AS INT) END AS doc, CASE WHEN l_quantity > 10 THEN l_returnflag END AS ch FROM lineitem) WHERE NOT (doc <> 1 AND ch IN ('A', 'R')) GROUP BY doc, ch")
+def _(t):
+    x = t.lineitem.select(F.when(F.col("l_linenumber") > 1, (F.col("l_linenumber") == 2).cast("int")).alias("doc"), F.when(F.col("l_quantity") > 10, F.col("l_returnflag")).alias("ch"))
+    return x.where("NOT (doc <> 1 AND ch IN ('A', 'R'))").groupBy("doc", "ch").agg(F.count("*").alias("n"))
+
+
+@query("prefix_like_limit", "SELECT p_partkey, p_name FROM part WHERE starts_with(lower(p_name), 'cold') ORDER BY p_partkey LIMIT 50")
+def _(t):
+    return t.part.where(F.startswith(F.lower("p_name"), F.lit("cold"))).select("p_partkey", "p_name").orderBy("p_partkey").limit(50)
+
+
+@query("contains_like", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'widget')")
+def _(t):
+    return t.part.where(F.contains(F.lower("p_name"), F.lit("widget"))).select("p_partkey", "p_name")
+
+
+@query("fulltext_all_terms", r"SELECT doc_id FROM documents WHERE len(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: starts_with(x, 'ther'))) > 0 AND list_contains(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), 'the')")
+def _(t):
+    words = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
+    return t.documents.where(F.exists(words, lambda w: F.startswith(w, F.lit("ther"))) & F.array_contains(words, "the")).select("doc_id")
+
+
+@query("regexp_predicate", "SELECT page_id FROM pages WHERE regexp_matches(url, '^https://[a-z0-9.-]+/fr/')")
+def _(t):
+    return t.pages.where(F.col("url").rlike("^https://[a-z0-9.-]+/fr/")).select("page_id")
+
+
+@query("literal_null_projection", "SELECT 'part' AS CONTENT_TYPE, p_partkey AS ID_CONTENT, CAST(NULL AS INT) AS RUNTIME, CAST(p_size = 10 AS INT) AS IS_CURRENT FROM part")
+def _(t):
+    return t.part.select(F.lit("part").alias("CONTENT_TYPE"), F.col("p_partkey").alias("ID_CONTENT"), F.lit(None).cast("int").alias("RUNTIME"), (F.col("p_size") == 10).cast("int").alias("IS_CURRENT"))
+
+
+@query("localized_collapse", "SELECT s_suppkey, coalesce(CASE WHEN trim(fr) <> '' THEN fr END, s_name) AS NAME FROM (SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 = 0 THEN 'Fournisseur ' || s_suppkey WHEN s_suppkey % 3 = 1 THEN ' ' END AS fr FROM supplier)")
+def _(t):
+    fr = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("Fournisseur "), F.col("s_suppkey").cast("string"))).when(F.col("s_suppkey") % 3 == 1, " ")
+    return views.collapse_french(t.supplier.select("s_suppkey", F.col("s_name").alias("NAME"), fr.alias("NAME_FR")), "fr")
+
+
+# --- joins
+
+
+@query("bridge_join_distinct", "SELECT DISTINCT o_orderkey, o_totalprice FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey = 3")
+def _(t):
+    who = t.supplier.where("s_nationkey = 3")
+    return rel.related(t.orders, "o_orderkey", t.lineitem, "l_orderkey", "l_suppkey", who, "s_suppkey").select("o_orderkey", "o_totalprice")
+
+
+@query("neighbour_self_join", "SELECT DISTINCT b.l_suppkey AS neighbour, CAST(count(DISTINCT b.l_orderkey) AS BIGINT) AS shared FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey WHERE a.l_suppkey = 1 GROUP BY b.l_suppkey")
+def _(t):
+    mine = t.lineitem.where("l_suppkey = 1").select("l_orderkey").distinct()
+    return t.lineitem.where("l_suppkey <> 1").join(mine, "l_orderkey", "left_semi").groupBy(F.col("l_suppkey").alias("neighbour")).agg(F.countDistinct("l_orderkey").alias("shared"))
+
+
+@query("left_join_lang", "SELECT d.doc_id, f.n_chars AS fr_chars FROM documents d LEFT JOIN documents f ON f.doc_id = d.doc_id AND f.lang = 'fr'")
+def _(t):
+    fr = t.documents.where("lang = 'fr'").select("doc_id", F.col("n_chars").alias("fr_chars"))
+    return t.documents.select("doc_id").join(fr, "doc_id", "left")
+
+
+@query("division_all_of", "SELECT l_orderkey FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R') GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) = 3")
+def _(t):
+    m = t._spark.createDataFrame([("A",), ("N",), ("R",)], "f string")
+    return rel.all_of(t.lineitem, "l_orderkey", "l_returnflag", m)
+
+
+@query("role_conditioned_join", "SELECT DISTINCT s_suppkey, s_name FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE l_returnflag = 'R' AND l_linestatus = 'O'")
+def _(t):
+    edges = t.lineitem.where("l_returnflag = 'R' AND l_linestatus = 'O'").select(F.col("l_suppkey").alias("s_suppkey"))
+    return t.supplier.select("s_suppkey", "s_name").join(edges, "s_suppkey", "left_semi")
+
+
+@query("semi_join", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
+def _(t):
+    return t.customer.select("c_custkey").join(t.orders.where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+
+
+@query("anti_join_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def _(t):
+    return t.customer.select("c_custkey").join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@query("in_union_subquery", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50 UNION SELECT l_suppkey FROM lineitem)")
+def _(t):
+    ids = t.lineitem.where("l_quantity >= 50").select(F.col("l_partkey").alias("p_partkey")).union(t.lineitem.select("l_suppkey"))
+    return t.part.select("p_partkey").join(ids, "p_partkey", "left_semi")
+
+
+@query("twin_self_join", "SELECT CAST(count(*) AS BIGINT) AS pairs, CAST(sum(CAST(a.p_type = b.p_type AS INT)) AS BIGINT) AS same_type FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey")
+def _(t):
+    a = t.part.select("p_name", "p_brand", F.col("p_partkey").alias("k1"), F.col("p_type").alias("t1"))
+    b = t.part.select("p_name", "p_brand", F.col("p_partkey").alias("k2"), F.col("p_type").alias("t2"))
+    return rel.flags_summed(a.join(b, ["p_name", "p_brand"]).where("k1 < k2"), {"pairs": F.lit(True), "same_type": F.col("t1") == F.col("t2")})
+
+
+@query("cross_join_conditional_counts", "SELECT r_name, x.l_returnflag, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM (SELECT r_regionkey, r_name, f.l_returnflag FROM region CROSS JOIN (SELECT DISTINCT l_returnflag FROM lineitem) f) x LEFT JOIN (SELECT n_regionkey, l_returnflag, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL) y ON n_regionkey = r_regionkey AND y.l_returnflag = x.l_returnflag GROUP BY r_name, x.l_returnflag")
+def _(t):
+    per = t.lineitem.groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"))
+    per = per.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").alias("r_regionkey"), "l_returnflag").agg(F.sum("n").alias("n"))
+    grid = t.region.select("r_regionkey", "r_name").crossJoin(F.broadcast(t.lineitem.select("l_returnflag").distinct()))  # regions and flags: closed vocabularies
+    return grid.join(per, ["r_regionkey", "l_returnflag"], "left").select("r_name", "l_returnflag", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("canonicalising_join", "SELECT c_custkey, coalesce(s_name, c_name) AS name FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
+def _(t):
+    hits = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("alias"), F.lit("").alias("name"))
+    return res.canonical(hits, "alias", t.supplier, "s_suppkey", "s_name").select(F.col("id").alias("c_custkey"), "name")
+
+
+@query("levenshtein_block_join", "WITH q AS (SELECT DISTINCT lower(replace(c_name, '#', '')) AS k FROM customer WHERE c_custkey <= 40), n AS (SELECT lower(replace(s_name, '#', '')) AS k, s_suppkey FROM supplier) SELECT q.k AS mention, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'supplier' || right(k, 9) AS k FROM q) q JOIN n ON levenshtein(q.k, n.k) <= 3 GROUP BY q.k")
+def _(t):
+    q = t.customer.where("c_custkey <= 40").select(F.concat(F.lit("supplier"), F.expr("right(c_name, 9)")).alias("m"))
+    hits = res.distance_matches(res.mentions(q, "m"), res.with_keys(t.supplier, "s_suppkey", "s_name"))
+    return hits.groupBy("mention").agg(F.count("*").alias("n"))
+
+
+# --- aggregation
+
+
+@query("rank_count_distinct", "SELECT s_suppkey, s_name, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS order_count FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_name")
+def _(t):
+    x = t.lineitem.select(F.col("l_suppkey").alias("s_suppkey"), "l_orderkey").join(t.supplier.select("s_suppkey", "s_name"), "s_suppkey")
+    return rel.rank_entities(x, ["s_suppkey", "s_name"], "l_orderkey", "order_count")
+
+
+@query("group_concat_distinct", "SELECT l_orderkey, max(l_quantity) AS hi, min(l_linenumber) AS first_line, string_agg(DISTINCT l_returnflag, ', ' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY l_orderkey")
+def _(t):
+    t.register("lineitem")
+    return t._spark.sql(dialect.rewrite("SELECT l_orderkey, MAX(l_quantity) AS hi, MIN(l_linenumber) AS first_line, GROUP_CONCAT(DISTINCT l_returnflag SEPARATOR ', ') AS flags FROM lineitem GROUP BY l_orderkey"))
+
+
+@query("conditional_sum", "SELECT o_orderpriority, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS done, CAST(sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END) AS BIGINT) AS large FROM orders GROUP BY o_orderpriority")
+def _(t):
+    return rel.flags_summed(t.orders, {"done": F.col("o_orderstatus") == "F", "large": F.col("o_totalprice") > 100000}, ["o_orderpriority"])
+
+
+@query("pivot_max_case", "SELECT user_id, max(CASE WHEN event_type = 'click' THEN round(value, 4) END) AS click, max(CASE WHEN event_type = 'view' THEN round(value, 4) END) AS view FROM events GROUP BY user_id")
+def _(t):
+    return rel.pivot_max(t.events.withColumn("value", F.round("value", 4)), ["user_id"], "event_type", "value", {"click": "click", "view": "view"})
+
+
+@query("having_duplicates", "SELECT p_name, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY p_name HAVING n > 1")
+def _(t):
+    return t.part.groupBy("p_name").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("scalar_subquery_count", "SELECT c_custkey, (SELECT CAST(count(*) AS BIGINT) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS n FROM customer")
+def _(t):
+    done = t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return rel.fill_counts(t.customer.select("c_custkey"), done, "c_custkey")
+
+
+@query("multi_metric_summary", "SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS suppliers, min(l_linenumber) AS lo, max(l_linenumber) AS hi FROM lineitem GROUP BY l_returnflag")
+def _(t):
+    return t.lineitem.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.countDistinct("l_suppkey").alias("suppliers"), F.min("l_linenumber").alias("lo"), F.max("l_linenumber").alias("hi"))
+
+
+@query("group_by_expression", "SELECT CAST(ts AS DATE) AS day, coalesce(CASE WHEN event_type <> 'error' THEN event_type END, '(NULL)') AS kind, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")
+def _(t):
+    kind = F.coalesce(F.when(F.col("event_type") != "error", F.col("event_type")), F.lit("(NULL)"))
+    return t.events.groupBy(F.to_date("ts").alias("day"), kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("guarded_ratio", "SELECT l_linestatus, round(100.0 * count(*) FILTER (WHERE l_returnflag = 'R') / nullif(count(*) FILTER (WHERE l_returnflag = 'N'), 0), 1) AS pct FROM lineitem GROUP BY l_linestatus")
+def _(t):
+    return t.lineitem.groupBy("l_linestatus").agg(assertions.rate(F.count_if(F.col("l_returnflag") == "R"), F.count_if(F.col("l_returnflag") == "N")).alias("pct"))
+
+
+@query("timing_means", "SELECT event_type, round(avg(v), 6) AS mean, CAST(count(v) AS BIGINT) AS n FROM (SELECT event_type, CASE WHEN value > 10 THEN value END AS v FROM events) GROUP BY event_type")
+def _(t):
+    return t.events.select("event_type", F.when(F.col("value") > 10, F.col("value")).alias("v")).groupBy("event_type").agg(F.round(F.avg("v"), 6).alias("mean"), F.count("v").alias("n"))
+
+
+@query("nearest_rank_percentile", "SELECT l_returnflag, v AS value FROM (SELECT l_returnflag, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) WHERE i = least(n - 1, CAST(round_even(0.9 * (n - 1), 0) AS BIGINT))")
+def _(t):
+    return rel.nearest_rank(t.lineitem, "l_extendedprice", 0.9, ["l_returnflag"])
+
+
+@query("histogram", "SELECT lang, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY lang ORDER BY n DESC")
+def _(t):
+    return t.documents.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+
+
+@query("first_wins_dedupe", "SELECT p_partkey, ext FROM (SELECT p_partkey, ext, row_number() OVER (PARTITION BY ext ORDER BY p_partkey) AS rn FROM (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '' ELSE p_brand END AS ext FROM part)) WHERE rn = 1 OR ext = ''")
+def _(t):
+    x = t.part.select("p_partkey", F.when(F.col("p_size") % 5 == 0, "").otherwise(F.col("p_brand")).alias("ext"))
+    return rel.first_wins(x, "ext", [F.col("p_partkey")])
+
+
+@query("counter_refresh", "SELECT p_partkey, (SELECT CAST(count(DISTINCT l_orderkey) AS BIGINT) FROM lineitem WHERE l_partkey = p_partkey) AS ORDER_COUNT FROM part")
+def _(t):
+    return etl.refresh_counters(t.part.select("p_partkey"), "p_partkey", t.lineitem, "l_partkey", "l_orderkey", "ORDER_COUNT")
+
+
+# --- windows, sorts, pages
+
+
+@query("share_of_total", "SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS total, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM orders GROUP BY o_orderpriority")
+def _(t):
+    return rel.share_of_total(t.orders, ["o_orderpriority"], F.lit(1))
+
+
+@query("top_n_per_group", "SELECT o_custkey, o_orderkey, CAST(rn AS INT) AS rn FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3")
+def _(t):
+    return rel.top_n(t.orders.select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3).select("o_custkey", "o_orderkey", "rn")
+
+
+@query("known_for_top3", "SELECT s, kind, id FROM (SELECT s, kind, id, row_number() OVER (PARTITION BY s ORDER BY rating DESC, kind, id) AS rn FROM (SELECT l_suppkey AS s, 'order' AS kind, l_orderkey AS id, max(o_totalprice) AS rating FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL UNION ALL SELECT l_suppkey, 'part', l_partkey, max(p_retailprice) FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)) WHERE rn <= 3")
+def _(t):
+    a = t.lineitem.select(F.col("l_suppkey").alias("s"), F.lit("order").alias("kind"), F.col("l_orderkey").alias("id")).distinct().join(t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("rating")), "id").groupBy("s", "kind", "id").agg(F.max("rating").alias("rating"))
+    b = t.lineitem.select(F.col("l_suppkey").alias("s"), F.lit("part").alias("kind"), F.col("l_partkey").alias("id")).distinct().join(t.part.select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("rating")), "id").groupBy("s", "kind", "id").agg(F.max("rating").alias("rating"))
+    return rel.top_n(a.unionByName(b), ["s"], [F.desc("rating"), F.asc("kind"), F.asc("id")], 3).select("s", "kind", "id")
+
+
+@query("first_per_key", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type <> 'error') WHERE rn = 1")
+def _(t):
+    return rel.first_by(t.events.where("event_type <> 'error'").select("user_id", "event_id", "ts"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id")
+
+
+@query("lag_lead_neighbours", "SELECT o_orderkey, lag(o_orderkey) OVER w AS previous_id, lead(o_orderkey) OVER w AS next_id FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+def _(t):
+    return rel.neighbours(t.orders, [F.col("o_orderdate"), F.col("o_orderkey")], "o_orderkey", ["o_custkey"]).select("o_orderkey", "previous_id", "next_id")
+
+
+_PAGE = "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate, n_edges, CAST(total AS BIGINT) AS total FROM (SELECT o.*, CAST(n AS BIGINT) AS n_edges, count(*) OVER () AS total, f FROM orders o JOIN (SELECT l_orderkey, count(*) AS n, min(l_linenumber) AS f FROM lineitem WHERE l_suppkey = 3 GROUP BY 1) ON l_orderkey = o_orderkey) ORDER BY f, o_totalprice DESC, o_orderkey LIMIT 20"
+
+
+@query("page_with_total", _PAGE)
+def _(t):
+    return views.Engine(orders_catalog(), lambda n: getattr(t, n)).collection("supplier", 3, "order_supplier", rel.Page(1, 20))
+
+
+@query("entity_view_second_page", _PAGE.replace("LIMIT 20", "LIMIT 20 OFFSET 20"))
+def _(t):
+    return views.Engine(orders_catalog(), lambda n: getattr(t, n)).view("supplier", 3, "order_supplier", rel.Page(2, 20)).collections["order_supplier"]
+
+
+@query("case_sort_topk", "SELECT p_partkey, p_size FROM part ORDER BY CASE WHEN p_size % 10 = 0 THEN 1 ELSE 0 END, p_size, p_partkey LIMIT 100")
+def _(t):
+    return t.part.select("p_partkey", "p_size").orderBy(F.when(F.col("p_size") % 10 == 0, 1).otherwise(0), "p_size", "p_partkey").limit(100)
+
+
+@query("distinct_hidden_sort", "SELECT p_brand, p_type FROM part GROUP BY p_brand, p_type ORDER BY max(p_retailprice) DESC, p_brand, p_type LIMIT 40")
+def _(t):
+    return rel.distinct_sorted(t.part, ["p_brand", "p_type"], [("p_retailprice", True)]).limit(40)
+
+
+@query("limit_rewrite_page", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 25")
+def _(t):
+    t.register("orders")
+    return engine.run(t._spark, "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5, 30", page=rel.Page(3, 10))
+
+
+@query("bound_placeholders", "SELECT p_partkey FROM part WHERE p_brand = 'Brand#11' OR p_size = 7")
+def _(t):
+    t.register("part")
+    return engine.run(t._spark, "SELECT p_partkey FROM part WHERE p_brand = '{{Brand_name1}}' OR p_size = {{Size1}}", {"Brand_name1": "Brand#11", "Size1": 7})
+
+
+# --- set operations
+
+
+@query("union_content_aligned", "SELECT 'order' AS CONTENT_TYPE, o_orderkey AS ID_CONTENT, o_totalprice AS RATING, CAST(NULL AS INT) AS RUNTIME FROM orders UNION ALL SELECT 'part', p_partkey, p_retailprice, p_size FROM part")
+def _(t):
+    return rel.aligned_union(("order", t.orders, {"ID_CONTENT": "o_orderkey", "RATING": "o_totalprice"}), ("part", t.part, {"ID_CONTENT": "p_partkey", "RATING": "p_retailprice", "RUNTIME": "p_size"}))
+
+
+@query("union_distinct_vocab", "SELECT n_name AS word FROM nation UNION SELECT r_name FROM region UNION SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment NOT IN ('MACHINERY')")
+def _(t):
+    return t.nation.select(F.col("n_name").alias("word")).union(t.region.select("r_name")).union(t.customer.where("c_mktsegment NOT IN ('MACHINERY')").select("c_mktsegment")).distinct()
+
+
+@query("first_table_wins", "SELECT s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def _(t):
+    return rel.first_table_wins(t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), "id")
+
+
+@query("recursive_tree", "WITH c AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 3 END AS id_parent FROM part WHERE p_partkey <= 60), d AS (SELECT c1.id, c1.id_parent FROM c c1) SELECT DISTINCT a.id, CAST(a.depth AS INT) AS depth FROM (WITH RECURSIVE down(id, depth) AS (SELECT id, 0 FROM c WHERE id_parent IS NULL UNION ALL SELECT c.id, depth + 1 FROM c JOIN down ON c.id_parent = down.id) SELECT * FROM down) a JOIN (WITH RECURSIVE up(id, p) AS (SELECT id, id_parent FROM c WHERE id IN (40, 51) UNION ALL SELECT c.id, c.id_parent FROM c JOIN up ON up.p = c.id) SELECT * FROM up) b ON a.id = b.id")
+def _(t):
+    c = t.part.where("p_partkey <= 60").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 3)).alias("id_parent"))
+    return cache.pruned_tree(c, c.where("id IN (40, 51)").select("id"))
+
+
+# --- text, resolution, vectors
+
+
+@query("name_normalize", r"SELECT p_partkey, trim(regexp_replace(lower(regexp_replace(p_name || ' #' || p_brand, '[^\p{L}\p{N}]', ' ', 'g')), ' +', ' ', 'g')) AS norm, replace(trim(regexp_replace(lower(regexp_replace(p_name || ' #' || p_brand, '[^\p{L}\p{N}]', ' ', 'g')), ' +', ' ', 'g')), ' ', '') AS k FROM part")
+def _(t):
+    x = F.concat("p_name", F.lit(" #"), "p_brand")
+    return t.part.select("p_partkey", text.normalize_name(x).alias("norm"), text.to_key(x).alias("k"))
+
+
+@query("accent_fold", "SELECT doc_id, lower(strip_accents(regexp_extract(text, '^[A-Za-zÀ-ÿ]+'))) AS head FROM documents WHERE lang <> 'de'")
+def _(t):
+    return t.documents.where("lang <> 'de'").select("doc_id", text.fold(F.regexp_extract("text", "^[A-Za-zÀ-ÿ]+", 0)).alias("head"))
+
+
+@query("string_functions", "SELECT s_suppkey, upper(left(s_name, 3)) AS a, length(s_name) AS b, regexp_replace(s_name, '[0-9]+', 'N', 'g') AS c, sha256(s_name) AS h, md5(s_name) AS m FROM supplier")
+def _(t):
+    return t.supplier.select("s_suppkey", F.upper(F.expr("left(s_name, 3)")).alias("a"), F.char_length("s_name").cast("long").alias("b"), F.regexp_replace("s_name", "[0-9]+", "N").alias("c"), F.sha2("s_name", 256).alias("h"), F.md5("s_name").alias("m"))
+
+
+@query("version_key", "SELECT v, lpad(split_part(v, '.', 1), 3, '0') || '.' || lpad(split_part(v, '.', 2), 3, '0') || '.' || lpad(split_part(v, '.', 3), 3, '0') AS k FROM (SELECT DISTINCT '1.' || (p_size % 12) || '.' || (p_size % 7) AS v FROM part)")
+def _(t):
+    v = F.concat(F.lit("1."), (F.col("p_size") % 12).cast("string"), F.lit("."), (F.col("p_size") % 7).cast("string"))
+    return t.part.select(v.alias("v")).distinct().select("v", text.version_key("v").alias("k"))
+
+
+@query("language_route", "SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN '' ELSE 'Latin' END AS family FROM documents")
+def _(t):
+    return t.documents.select("doc_id", text.script("text").alias("family"))
+
+
+@query("adaptive_radius", "SELECT p_partkey, CASE WHEN length(replace(p_name, ' ', '')) <= 6 THEN 1 WHEN length(replace(p_name, ' ', '')) <= 14 THEN 2 ELSE 3 END AS k FROM part")
+def _(t):
+    return t.part.select("p_partkey", matching.radius(F.char_length(text.to_key("p_name"))).alias("k"))
+
+
+@query("exact_name_match", "SELECT DISTINCT lower(c_mktsegment) AS mention, 0 AS id FROM customer WHERE false UNION ALL SELECT p_name, arg_min(p_partkey, (-p_retailprice, p_partkey)) FROM part GROUP BY p_name")
+def _(t):
+    return res.exact_matches(res.mentions(t.part, "p_name"), res.with_keys(t.part, "p_partkey", "p_name", "p_retailprice")).select("mention", "id")
+
+
+@query("entity_resolution")
+def _(t):
+    asked = t.supplier.select(F.concat(F.regexp_replace("s_name", "l", ""), F.lit("")).alias("m"))
+    return res.resolve(res.mentions(asked, "m"), res.with_keys(t.supplier, "s_suppkey", "s_name", "s_acctbal"))
+
+
+@query("closed_vocabulary")
+def _(t):
+    asked = t._spark.createDataFrame([("automobiles",), ("Furnitures",), ("machinry",), ("zzz",)], "m string")
+    return res.resolve_closed(res.mentions(asked, "m"), res.vocabulary(t.customer, "c_mktsegment"))
+
+
+@query("knn_topk", "SELECT q.vec_id AS query_id, v.vec_id AS id FROM embeddings q, embeddings v WHERE q.vec_id < 5 AND v.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9), v.vec_id) <= 10")
+def _(t):
+    q = t.embeddings.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    d = F.round(1 - matching.cosine(F.col("q"), F.col("embedding")), 9)
+    return res.knn(q, t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), d, 10, F.col("id") != F.col("query_id")).select("query_id", "id")
+
+
+@query("name_ambiguity", "SELECT p_name, CAST(count(DISTINCT p_partkey) AS BIGINT) AS n, list(p_partkey ORDER BY p_retailprice, p_partkey)[1] AS first_id FROM part GROUP BY p_name HAVING n > 1")
+def _(t):
+    return questions.ambiguous_names(t.part, "p_name", "p_partkey", [F.col("p_retailprice")]).select("p_name", "n", F.col("ids")[0].alias("first_id"))
+
+
+@query("bare_id_lookup", "SELECT 'supplier' AS kind, CAST(count(*) AS BIGINT) AS n FROM supplier WHERE s_suppkey = 5")
+def _(t):
+    rows = questions.lookup_by_precedence([("order", t.orders.where("false").withColumnRenamed("o_orderkey", "id")), ("supplier", t.supplier.withColumnRenamed("s_suppkey", "id")), ("customer", t.customer.withColumnRenamed("c_custkey", "id"))], "id", 5)
+    return rows.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("language_fallback", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN lang = 'fr' AND n_chars > 100 THEN 0 WHEN lang = 'en' AND n_chars > 100 THEN 1 WHEN n_chars > 100 THEN 2 ELSE 3 END, lang, doc_id) AS rn FROM documents) WHERE rn = 1")
+def _(t):
+    rank = F.when((F.col("lang") == "fr") & (F.col("n_chars") > 100), 0).when((F.col("lang") == "en") & (F.col("n_chars") > 100), 1).when(F.col("n_chars") > 100, 2).otherwise(3)
+    return rel.first_by(t.documents.select("source", "doc_id", "lang", "n_chars"), ["source"], [rank, F.col("lang"), F.col("doc_id")]).select("source", "doc_id")
+
+
+@query("main_image", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM events WHERE event_type = 'view') WHERE rn <= 6")
+def _(t):
+    return rel.top_n(t.events.where("event_type = 'view'").select("user_id", "event_id", "value"), ["user_id"], [F.desc("value"), F.asc("event_id")], 6).select("user_id", "event_id")
+
+
+@query("nested_collection", "SELECT l_suppkey AS s_suppkey, CAST(least(12, count(DISTINCT l_orderkey)) AS INT) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_suppkey")
+def _(t):
+    return views.Engine(orders_catalog(), lambda n: getattr(t, n)).nested("supplier", "order_supplier_returned").select("s_suppkey", F.size("ids").alias("n"))
+
+
+# --- cache, evaluation, ETL
+
+
+def _cache(t):
+    return t.events.select(F.col("event_id").alias("ID_ROW"), F.col("event_type").alias("QUESTION"), F.sha2("event_type", 256).alias("QUESTION_HASHED"), F.when(F.col("user_id") % 2 == 0, "en").otherwise("fr").alias("UI_LANGUAGE"), F.lit("1.1.9").alias("API_VERSION"), (F.col("event_id") % 3 == 0).cast("int").alias("IS_ANONYMIZED"), F.when(F.col("event_id") % 5 == 0, 1).alias("DELETED"), F.col("ts").alias("TIM_UPDATED"), F.col("props").alias("SQL_QUERY"))
+
+
+@query("cache_latest", "SELECT event_type AS QUESTION, CASE WHEN user_id % 2 = 0 THEN 'en' ELSE 'fr' END AS UI_LANGUAGE, event_id AS ID_ROW FROM events WHERE event_id % 5 <> 0 AND event_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY event_type, user_id % 2 ORDER BY ts DESC, event_id DESC) = 1")
+def _(t):
+    c = _cache(t)
+    return cache.lookup(c, c, "1.1.9").select("QUESTION", "UI_LANGUAGE", "ID_ROW")
+
+
+@query("cache_twins", "SELECT CAST(count(*) AS BIGINT) AS pairs, CAST(sum(CAST(a.props = b.props AS INT)) AS BIGINT) AS same_sql FROM events a JOIN events b ON a.event_type = b.event_type AND a.user_id % 2 = b.user_id % 2 AND a.event_id % 3 <> 0 AND b.event_id % 3 = 0 WHERE a.event_id < 500 AND b.event_id < 500")
+def _(t):
+    return rel.flags_summed(cache.twins(_cache(t).where("ID_ROW < 500")), {"pairs": F.lit(True), "same_sql": F.col("same_sql") == 1})
+
+
+@query("upsert_latest_wins", "SELECT coalesce(s_suppkey, k) AS s_suppkey, CASE WHEN k IS NOT NULL THEN n ELSE s_name END AS s_name, CASE WHEN s_suppkey IS NULL THEN b ELSE s_acctbal END AS s_acctbal FROM supplier FULL JOIN (SELECT c_custkey AS k, c_name AS n, c_acctbal AS b FROM customer WHERE c_custkey % 7 = 0) ON s_suppkey = k")
+def _(t):
+    changes = t.customer.where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_name").alias("s_name"), F.col("c_acctbal").alias("s_acctbal"))
+    return etl.upsert(t.supplier.select("s_suppkey", "s_name", "s_acctbal"), changes, ["s_suppkey"], insert_only=["s_acctbal"])
+
+
+@query("soft_then_hard_delete", "SELECT p_partkey FROM part WHERE NOT (p_size > 40)")
+def _(t):
+    return etl.hard_delete(etl.soft_delete(t.part.withColumn("DELETED", F.lit(0)), F.col("p_size") > 40)).select("p_partkey")
+
+
+@query("flags_to_rows", "SELECT p_partkey, 'large' AS VALUE, 1 AS DISPLAY_ORDER FROM part WHERE p_size > 25 UNION ALL SELECT p_partkey, 'even', 2 FROM part WHERE p_size % 2 = 0")
+def _(t):
+    x = t.part.select("p_partkey", (F.col("p_size") > 25).cast("int").alias("a"), F.when(F.col("p_size") % 2 == 0, 1).alias("b"))
+    return etl.flags_to_rows(x, "p_partkey", [("a", "large"), ("b", "even")])
+
+
+@query("multi_valued_ordinals", "SELECT p_partkey, v AS VALUE, CAST(i AS INT) AS DISPLAY_ORDER FROM (SELECT p_partkey, unnest(l) AS v, unnest(range(1, len(l) + 1)) AS i FROM (SELECT p_partkey, [p_brand] || list_filter(list_distinct_order, lambda x: x <> p_brand) AS l FROM (SELECT p_partkey, p_brand, [p_type] AS list_distinct_order FROM part)))")
+def _(t):
+    return etl.ordinals(t.part.withColumn("others", F.array("p_type", "p_brand")), "p_partkey", "p_brand", "others")
+
+
+@query("scoped_resync", "SELECT l_returnflag AS kind, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1 UNION ALL SELECT 'A', CAST(count(*) AS BIGINT) FROM lineitem WHERE l_returnflag = 'R'")
+def _(t):
+    x = t.lineitem.select(F.col("l_returnflag").alias("kind"), "l_orderkey")
+    fresh = x.where("kind = 'R'").withColumn("kind", F.lit("A"))
+    return etl.resync(x, F.col("kind") == "A", fresh).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("aspect_ratio_normalise", "SELECT raw, CASE raw WHEN '16:9' THEN '1.78' WHEN '2,39:1' THEN '2.39' WHEN '4/3' THEN '1.33' END AS ratio FROM (SELECT DISTINCT CASE p_size % 5 WHEN 0 THEN '16:9' WHEN 1 THEN '2,39:1' WHEN 2 THEN '4/3' WHEN 3 THEN '1.77' ELSE '1.90' END AS raw FROM part)")
+def _(t):
+    m = F.col("p_size") % 5
+    raw = F.when(m == 0, "16:9").when(m == 1, "2,39:1").when(m == 2, "4/3").when(m == 3, "1.77").otherwise("1.90")
+    return t.part.select(raw.alias("raw")).distinct().select("raw", etl.aspect_ratio("raw").alias("ratio"))
+
+
+@query("assertion_eval", "SELECT 'COUNT(*) > 0 AND o_totalprice > 0' AS assertion, CAST(count(*) > 0 AND min(o_totalprice) > 0 AS INT) AS passed FROM orders UNION ALL SELECT 'o_orderkey IN (1, 2, 999999999)', CAST(count(DISTINCT o_orderkey) FILTER (WHERE o_orderkey IN (1, 2, 999999999)) = 3 AS INT) FROM orders")
+def _(t):
+    said = ["COUNT(*) > 0 AND o_totalprice > 0", "o_orderkey IN (1, 2, 999999999)"]
+    return t._spark.createDataFrame([(s, int(assertions.check(t.orders, s))) for s in said], "assertion string, passed int")
+
+
+@query("run_outcomes", "SELECT label, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN p AND NOT r THEN 'direct_success' WHEN p THEN 'recovered_by_retry' WHEN r THEN 'retried_but_failed' WHEN e THEN 'gave_up_empty' ELSE 'wrong_result_no_retry' END AS label FROM (SELECT event_id % 2 = 0 AS p, event_id % 3 = 0 AS r, event_id % 5 = 0 AS e FROM events)) GROUP BY label")
+def _(t):
+    x = t.events.select((F.col("event_id") % 2 == 0).alias("p"), (F.col("event_id") % 3 == 0).alias("r"), (F.col("event_id") % 5 == 0).alias("e"))
+    return x.select(assertions.outcome("p", "r", "e").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("total_score", "SELECT doc_id, CASE WHEN quality IS NULL AND toxic IS NULL THEN NULL ELSE CAST(coalesce(quality, 1) = 1 AND coalesce(toxic, 1) = 1 AS INT) END AS score FROM (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN quality END AS quality, CASE WHEN doc_id % 3 > 1 THEN toxic END AS toxic FROM labels)")
+def _(t):
+    x = t.labels.select("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("quality")).alias("q"), F.when(F.col("doc_id") % 3 > 1, F.col("toxic")).alias("x"))
+    return x.select("doc_id", assertions.total_score("q", "x").alias("score"))
+
+
+@query("log_compaction", "SELECT strftime(ts, '%Y%m') AS yyyymm, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def _(t):
+    return etl.compacted(t.events, "ts").groupBy("yyyymm").agg(F.count("*").alias("n"))
+
+
+@query("export_changed", "SELECT p_partkey FROM part WHERE p_size > 45")
+def _(t):
+    old = t.part.withColumn("p_size", F.when(F.col("p_size") > 45, F.col("p_size") + 1).otherwise(F.col("p_size")))
+    return etl.changed_only(t.part, old, "p_partkey", ["p_name", "p_size"]).select("p_partkey")
+
+
+@query("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")
+def _(t):
+    from starloom.streaming import windowed_counts
+
+    return windowed_counts(t.events, "ts", "event_type")
