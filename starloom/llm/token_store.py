@@ -51,6 +51,9 @@ class WordMemo:
 
     def __init__(self, tokenizer, wide: bool):
         self.tokenizer, self.kind = tokenizer, "<u4" if wide else "<u2"
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        # added tokens are matched before all else: words that hold one aren't cut, nor texts that hold one with a space
+        self.added, self.spaced = [a for a in added if " " not in a], [a for a in added if " " in a]
         self.memo: dict[str, bytes] = {}
         self.subs: dict[str, bytes] = {}
 
@@ -62,7 +65,7 @@ class WordMemo:
         cut = []
         for w in words:
             parts = _SUB.findall(w)
-            if sum(map(len, parts)) != len(w) or "\n\n" in w or w[:2] == " \n" or w[:1] == "\n":
+            if sum(map(len, parts)) != len(w) or "\n\n" in w or w[:2] == " \n" or w[:1] == "\n" or any(a in w for a in self.added):
                 parts = [w]
             cut.append(parts)
         return through_memo(cut, self.subs, PARTS, self._encode)
@@ -70,7 +73,9 @@ class WordMemo:
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = []
         for t in texts:
-            if _SPACE_BEFORE.search(t):
+            if self.spaced and any(a in t for a in self.spaced):
+                cut.append([t])
+            elif _SPACE_BEFORE.search(t):
                 parts = _CUT.split(t)
                 cut.append([parts[0], *[p[1:] for p in parts[1:]]])
             else:
