@@ -7,6 +7,8 @@ partial ratios weighted 0.9 (0.6 from a quotient of 8) times 0.95 for tokens.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,18 +22,34 @@ def radius(n: Column) -> Column:
     return F.when(n <= 6, 1).when(n <= 14, 2).otherwise(3)
 
 
+@lru_cache(maxsize=8192)
+def _places(a: str) -> dict[str, int]:
+    """The places of each character of a, as bits; one string meets many others, so it is kept."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    return where
+
+
+@lru_cache(maxsize=8192)
+def _sorted_words(a: str) -> str:
+    return " ".join(sorted(a.split()))
+
+
 def _common(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bits."""
     if not a or not b:
         return 0
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
+    if a == b:
+        return len(a)
+    where = _places(a)
     full = (1 << len(a)) - 1
     row = full
     for c in b:
-        m = row & where.get(c, 0)
-        row = (row + m | row - m) & full
+        m = where.get(c, 0)
+        if m:
+            m &= row
+            row = (row + m | row - m) & full
     return len(a) - row.bit_count()
 
 
@@ -59,7 +77,7 @@ def partial_ratio(a: str, b: str) -> float:
 
 
 def token_sort_ratio(a: str, b: str, score=ratio) -> float:
-    return score(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    return score(_sorted_words(a), _sorted_words(b))
 
 
 def token_set_ratio(a: str, b: str) -> float:
