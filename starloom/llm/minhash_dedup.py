@@ -137,21 +137,21 @@ def _tile_pairs(pdf):
     """Pairs of different components with at least T equal coordinates, under their first common token only."""
     import pandas as pd
 
-    out_a, out_b = [], []
-    sig = np.stack(pdf["sig"].to_numpy()) if len(pdf) else np.empty((0, K), np.int64)
-    pre = [frozenset(p.tolist()) for p in pdf["pre"]]
+    out_a, out_b = [np.array([], np.int64)], [np.array([], np.int64)]
+    sig = np.stack(pdf["sig"].to_numpy()) if len(pdf) else np.empty((0, K), np.int32)
+    pre = (pdf["pre"].to_numpy().astype(np.int64)[:, None] >> np.arange(K)) & 1 == 1  # coordinates of the prefix
     rep, c, side = pdf["rep"].to_numpy(), pdf["c"].to_numpy(), pdf["side"].to_numpy()
     for (token, i, j), at in pdf.groupby(["token", "i", "j"]).indices.items():
         left, right = at[side[at] != 1], at[side[at] != 0]
         for x in left.tolist():
             y = right[(c[right] != c[x]) & ((rep[right] > rep[x]) | (i != j))]
             if len(y):
-                y = y[(sig[y] == sig[x]).sum(1) >= T]
-            for z in y.tolist():
-                if min(pre[x] & pre[z]) == token:
-                    out_a.append(min(rep[x], rep[z]))
-                    out_b.append(max(rep[x], rep[z]))
-    return pd.DataFrame({"a": np.array(out_a, "int64"), "b": np.array(out_b, "int64")})
+                same = sig[y] == sig[x]
+                first = (same & pre[y] & pre[x]).argmax(1) == token >> 32
+                y = y[first & (same.sum(1) >= T)]
+                out_a.append(np.minimum(rep[x], rep[y]))
+                out_b.append(np.maximum(rep[x], rep[y]))
+    return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
 
 class Linker:
@@ -209,7 +209,10 @@ class Linker:
         dealt = open_.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         side = F.when(F.col("tile") == F.col("other"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1)
         dealt = dealt.select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), side.alias("side"), "rep", "c", "n")
-        dealt = dealt.join(self.classes.select("rep", "sig"), "rep").join(prefixes, "rep")
+        # a posting carries its signature's 32-bit values and a bit for each coordinate of its prefix
+        values = self.classes.select("rep", F.transform("sig", lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")).alias("sig"))
+        bits = prefixes.select("rep", F.expr("aggregate(pre, 0L, (s, t) -> s | shiftleft(1L, int(shiftright(t, 32))))").alias("pre"))
+        dealt = dealt.join(values, "rep").join(bits, "rep")
         bins = max(1, open_.count() // GROUP)
         bin_ = F.when(F.col("n") <= SHORT, F.pmod(F.xxhash64("token"), F.lit(bins))).otherwise(F.xxhash64("token", "i", "j"))
         return dealt.withColumn("bin", bin_).groupBy("bin").applyInPandas(_tile_pairs, "a long, b long")
