@@ -15,11 +15,14 @@ depends on the model's kind:
 
 White space is written as U+2581, with one in front of the text. Where no piece
 holds U+2581 behind another character, every path meets in front of it: such
-parts are encoded alone and remembered.
+parts are encoded alone and remembered. The same holds between marks
+and other characters that no piece joins, so "word," and "word" share a part. A
+part's candidate pieces come from an Aho-Corasick automaton of all pieces.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -33,6 +36,8 @@ from starloom.llm.common import ship, slices, through_memo
 SPACE = "▁"
 #: Entries of a worker's memos: encoded parts, and pairs of pieces that were tested.
 MEMO, PAIRS = 600_000, 1_000_000
+#: ASCII characters that are neither letters, digits nor the space.
+MARKS = "".join(c for c in map(chr, range(128)) if c != " " and not c.isalnum())
 
 
 class Merges:
@@ -136,6 +141,7 @@ class Stream:
 
 class Codec:
     def __init__(self, model_file: str):
+        import ahocorasick
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -161,33 +167,44 @@ class Codec:
         self.rule = Merges(scores)
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.memo: dict[str, bytes] = {}
+        self.finder = ahocorasick.Automaton()
+        for p in self.ids:
+            self.finder.add_word(p, (len(p), p))
+        self.finder.make_automaton()
+        # parts may also end next to marks: all characters that pieces join to ASCII marks, directly or not; without byte pieces unknown ones would be one id
+        marks, plain = set(MARKS), [set(p) - {SPACE} for p in self.ids]
+        while more := set().union(*(x for x in plain if x & marks)) - marks:
+            marks |= more
+        held = re.escape("".join(sorted(marks)))
+        usable = self.cuts and self.bytes_id and not any(x.isalpha() and x.isascii() for x in marks)
+        self.split = re.compile(f" *(?:[^{held} ]+|[{held}]+)| +").findall if usable else None
 
     def pieces(self, s: str) -> list[str]:
         """Pieces of one part, already written with U+2581."""
         if len(s) > 4096:
             st = Stream(self.rule, self.max_piece)
             return st.feed(s) + st.finish()
-        most, last = self.max_piece, [""] * (len(s) + 1)
-        scores, pairs, fits = self.rule.scores, self.rule.pairs, self.rule.fits
-        for i in range(1, len(s) + 1):
-            for j in range(i - most if i > most else 0, i):
-                t = s[j:i]
-                if t in scores or i - j == 1:
-                    ok = pairs.get((last[j], t))
-                    if ok or ok is None and fits(last[j], t):
-                        last[i] = t
-                        break
+        last, pairs, fits, ended = [""] * (len(s) + 1), self.rule.pairs, self.rule.fits, -1
+        for i, (n, t) in self.finder.iter(s):  # by end, longer pieces first
+            if i == ended:
+                continue
+            j = i + 1 - n
+            before = last[j] or s[j - 1 : j]  # a character without a piece stands alone
+            ok = pairs.get((before, t))
+            if ok or ok is None and fits(before, t):
+                last[i + 1], ended = t, i
         out, i = [], len(s)
         while i:
-            out.append(last[i])
-            i -= len(last[i])
+            t = last[i] or s[i - 1]
+            out.append(t)
+            i -= len(t)
         return out[::-1]
 
     def _packed(self, parts: list[str]) -> list[bytes]:
         out = []
         for p in parts:
             ids = []
-            for x in self.pieces(SPACE + p.replace(" ", SPACE)):
+            for x in self.pieces(p.replace(" ", SPACE)):
                 i = self.ids.get(x)
                 if i is not None:
                     ids.append(i)
@@ -206,20 +223,9 @@ class Codec:
             if not t:
                 cut.append([])
             elif not self.cuts:
-                cut.append([t])
-            else:
-                parts = t.split(" ")
-                if "" in parts:  # runs of spaces belong to the part behind them
-                    parts, run = [], ""
-                    for p in t.split(" "):
-                        if p:
-                            parts.append(run + p)
-                            run = ""
-                        else:
-                            run += " "
-                    if run:
-                        parts.append(run[:-1])
-                cut.append(parts)
+                cut.append([" " + t])
+            else:  # runs of spaces belong to the part behind them
+                cut.append(self.split(" " + t) if self.split else re.findall(" *[^ ]+| +", " " + t))
         return through_memo(cut, self.memo, MEMO, self._packed)
 
     def decode(self, packed: bytes) -> str:
