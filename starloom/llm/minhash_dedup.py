@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from starloom.llm.common import components, materialise, ship, slices
 
 K, T, WORDS = 64, 35, 5
-TILE, SHORT, GROUP = 1024, 256, 4096
+TILE, SHORT, GROUP = 2048, 256, 4096
+SKETCH, SIGMAS = 256, 4.3
 #: Entries of a worker's memo of word hashes.
 MEMO = 400_000
 
@@ -86,14 +87,14 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Tokens (coordinate << 32 | value) of sets that aren't empty, one row a set."""
+    """32-bit MinHash values of sets that aren't empty, one row a set."""
     a, b = _seeds()
     whole = np.concatenate(sets)
     at = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    out = np.empty((len(sets), K), np.int64)
+    out = np.empty((len(sets), K), np.int32)
     for k in range(K):
         v = np.minimum.reduceat((whole ^ a[k]) * b[k], at)
-        out[:, k] = (v >> np.uint64(32)).astype(np.int64) | (k << 32)
+        out[:, k] = (v >> np.uint64(32)).astype(np.uint32).view(np.int32)
     return out
 
 
@@ -108,7 +109,7 @@ def _profiles(batches):
                 sig[i] = row
                 key[i] = tuple(int(x) for x in np.frombuffer(hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in key], pa.int64()), pa.array([k[1] for k in key], pa.int64()), pa.array(sig, pa.list_(pa.int64()))],
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in key], pa.int64()), pa.array([k[1] for k in key], pa.int64()), pa.array(sig, pa.list_(pa.int32()))],
                 names=["doc_id", "n_shingles", "k1", "k2", "sig"],
             )
 
@@ -133,25 +134,71 @@ def _confirm(percent: int):
     return run
 
 
-def _tile_pairs(pdf):
-    """Pairs of different components with at least T equal coordinates, under their first common token only."""
-    import pandas as pd
+def _sketches(batches):
+    """Upper halves of the smallest hashes of each set; sets are sorted."""
+    for whole in batches:
+        for b in slices(whole):
+            sets = shingle_sets([t or "" for t in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([(s[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary())],
+                names=["rep", "size", "sketch"],
+            )
 
-    out_a, out_b = [np.array([], np.int64)], [np.array([], np.int64)]
-    sig = np.stack(pdf["sig"].to_numpy()) if len(pdf) else np.empty((0, K), np.int32)
-    pre = (pdf["pre"].to_numpy().astype(np.int64)[:, None] >> np.arange(K)) & 1 == 1  # coordinates of the prefix
-    rep, c, side = pdf["rep"].to_numpy(), pdf["c"].to_numpy(), pdf["side"].to_numpy()
-    for (token, i, j), at in pdf.groupby(["token", "i", "j"]).indices.items():
-        left, right = at[side[at] != 1], at[side[at] != 0]
-        for x in left.tolist():
-            y = right[(c[right] != c[x]) & ((rep[right] > rep[x]) | (i != j))]
-            if len(y):
+
+def _compare(x: int, y: np.ndarray, size: np.ndarray, sketch: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of ``x`` with each of ``y``: those that the sketches prove, and those that they leave open."""
+    mine, flat = sketch[x], np.concatenate([sketch[i] for i in y])
+    lengths = np.array([len(sketch[i]) for i in y])
+    at = np.cumsum(lengths) - lengths
+    # both sketches hold all hashes up to this one
+    most = np.iinfo(np.uint32).max
+    limit = np.where(size[y] > SKETCH, flat[at + lengths - 1], most)
+    limit = np.minimum(limit, mine[-1] if size[x] > SKETCH else most)
+    within = flat <= np.repeat(limit, lengths)
+    hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+    both = np.add.reduceat((hit & within).astype(np.int64), at)
+    union = np.searchsorted(mine, limit, "right") + np.add.reduceat(within.astype(np.int64), at) - both
+    whole = (size[y] <= SKETCH) & (size[x] <= SKETCH)
+    p = percent / 100
+    # halves of hashes may collide, so two common hashes fewer must still do
+    proven = whole & (100 * (both - 2) >= percent * (union + 2))
+    possible = np.where(whole, 100 * both >= percent * union, both >= (p - SIGMAS * np.sqrt(p * (1 - p) / np.maximum(union, 1))) * union)
+    return y[proven], y[possible & ~proven]
+
+
+def _tile_pairs(percent: int):
+    """Pairs with at least T equal coordinates, under their first common token only, that could join two components."""
+
+    def run(pdf):
+        import pandas as pd
+
+        out = []
+        sig = np.stack(pdf["sig"].to_numpy()) if len(pdf) else np.empty((0, K), np.int32)
+        pre = (pdf["pre"].to_numpy().astype(np.int64)[:, None] >> np.arange(K)) & 1 == 1  # coordinates of the prefix
+        rep, label, side, size = pdf["rep"].to_numpy(), pdf["c"].to_numpy().copy(), pdf["side"].to_numpy(), pdf["size"].to_numpy()
+        sketch = [np.frombuffer(b, np.uint32) for b in pdf["sketch"]]
+        for (token, i, j), at in pdf.groupby(["token", "i", "j"]).indices.items():
+            left, right = at[side[at] != 1], at[side[at] != 0]
+            for x in left.tolist():
+                y = right[(label[right] != label[x]) & ((rep[right] > rep[x]) | (i != j))]
+                y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
+                if not len(y):
+                    continue
                 same = sig[y] == sig[x]
                 first = (same & pre[y] & pre[x]).argmax(1) == token >> 32
                 y = y[first & (same.sum(1) >= T)]
-                out_a.append(np.minimum(rep[x], rep[y]))
-                out_b.append(np.maximum(rep[x], rep[y]))
-    return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+                if not len(y):
+                    continue
+                proven, open_ = _compare(x, y, size, sketch, percent)
+                for k in proven.tolist():
+                    if label[k] != label[x]:
+                        out.append((rep[x], rep[k]))
+                        label[label == label[k]] = label[x]
+                out += [(rep[x], rep[k]) for k in open_.tolist() if label[k] != label[x]]
+        found = np.array(out, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": found.min(1), "b": found.max(1)})
+
+    return run
 
 
 class Linker:
@@ -161,13 +208,15 @@ class Linker:
         ship(docs.sparkSession)
         self.percent = percent
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        self.profiles = materialise(self.docs.mapInArrow(_profiles, "doc_id long, n_shingles long, k1 long, k2 long, sig array<long>"), "profiles")
+        self.profiles = materialise(self.docs.mapInArrow(_profiles, "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>"), "profiles")
         full = self.profiles.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        self.repeated = materialise(full.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
         self.classes = materialise(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
 
     def postings(self) -> tuple[DataFrame, DataFrame]:
         """(rep, token) and (rep, pre): the prefixes of classes that can have a partner."""
-        tokens = self.classes.select("rep", F.explode("sig").alias("token"))
+        tokens = self.classes.select("rep", F.posexplode("sig").alias("k", "v"))
+        tokens = tokens.select("rep", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token"))
         shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
         mine = tokens.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("all"))
         pre = mine.where(F.size("all") >= T).select("rep", F.slice(F.col("all.token"), 1, F.size("all") - T + 1).alias("pre"))
@@ -176,16 +225,22 @@ class Linker:
 
     def matched(self, pairs: DataFrame) -> DataFrame:
         """Pairs with at least T equal coordinates."""
-        a = self.classes.select(F.col("rep").alias("a"), F.col("sig").alias("ga"))
-        b = self.classes.select(F.col("rep").alias("b"), F.col("sig").alias("gb"))
-        got = pairs.distinct().join(a, "a").join(b, "b")
-        return got.where(F.size(F.array_intersect("ga", "gb")) >= T).select("a", "b")
+        pairs = materialise(pairs.distinct(), "candidates")
+        sig = self.classes.select("rep", "sig").join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi")
+        got = pairs.join(sig.toDF("a", "ga"), "a").join(sig.toDF("b", "gb"), "b")
+        equal = F.aggregate(F.zip_with("ga", "gb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+        return got.where(equal >= T).select("a", "b")
+
+    def once(self, rows: DataFrame, key: str) -> DataFrame:
+        """Each text of an id once; only ids that documents repeat are shuffled."""
+        many = self.repeated.select(F.col("doc_id").alias(key))
+        return rows.join(many, key, "left_anti").unionByName(rows.join(many, key, "left_semi").dropDuplicates([key, "text"]))
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs, "pairs")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, s binary").where("length(s) > 0")
-        sets = materialise(sets.dropDuplicates(["doc_id"]), "sets")
+        sets = self.once(self.docs.join(ids, "doc_id", "left_semi"), "doc_id").mapInArrow(_full_sets, "doc_id long, s binary")
+        sets = materialise(sets.where("length(s) > 0"), "sets")
         x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
         x = x.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
         return materialise(x.mapInArrow(_confirm(self.percent), "a long, b long"), "links")
@@ -209,13 +264,15 @@ class Linker:
         dealt = open_.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         side = F.when(F.col("tile") == F.col("other"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1)
         dealt = dealt.select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), side.alias("side"), "rep", "c", "n")
-        # a posting carries its signature's 32-bit values and a bit for each coordinate of its prefix
-        values = self.classes.select("rep", F.transform("sig", lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")).alias("sig"))
+        # a posting carries its signature, its sketch and a bit for each coordinate of its prefix
         bits = prefixes.select("rep", F.expr("aggregate(pre, 0L, (s, t) -> s | shiftleft(1L, int(shiftright(t, 32))))").alias("pre"))
-        dealt = dealt.join(values, "rep").join(bits, "rep")
+        held = materialise(open_.select("rep").distinct(), "held")
+        sketches = self.once(self.docs.withColumnRenamed("doc_id", "rep").join(held, "rep", "left_semi"), "rep").mapInArrow(_sketches, "rep long, size long, sketch binary")
+        carried = self.classes.select("rep", "sig").join(held, "rep", "left_semi").join(bits, "rep").join(sketches.where("size > 0"), "rep")
+        dealt = dealt.join(materialise(carried, "carried"), "rep")
         bins = max(1, open_.count() // GROUP)
         bin_ = F.when(F.col("n") <= SHORT, F.pmod(F.xxhash64("token"), F.lit(bins))).otherwise(F.xxhash64("token", "i", "j"))
-        return dealt.withColumn("bin", bin_).groupBy("bin").applyInPandas(_tile_pairs, "a long, b long")
+        return dealt.withColumn("bin", bin_).groupBy("bin").applyInPandas(_tile_pairs(self.percent), "a long, b long")
 
     def components(self) -> DataFrame:
         """(rep, c): classes with links and their component."""
