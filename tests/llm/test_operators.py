@@ -264,3 +264,82 @@ def test_licenses(spark):
     m = next(r.matches[0] for r in got if r.doc_id == 1)
     assert rows[0][1][m.start : m.end] == "Released under the   MIT license"
     assert hashlib.sha256(b"").hexdigest()  # spans are over characters of the given text
+
+
+def test_sketches():
+    """Sketches never refute a link, decide short sets exactly and prove only links."""
+    r = random.Random(3)
+    pool = [f"w{i}" for i in range(5000)]
+    base = [[r.choice(pool) for _ in range(n)] for n in (8, 40, 200, 900, 2000)]
+    docs = []
+    for words in base:
+        for changes in (0, 1, len(words) // 40, len(words) // 25, len(words) // 8):
+            copy = list(words)
+            for _ in range(changes):
+                copy[r.randrange(len(copy))] = r.choice(pool)
+            docs.append(" ".join(copy))
+    sets = minhash_dedup.shingle_sets(docs)
+    size = np.array([len(s) for s in sets])
+    sketch = [(s[: minhash_dedup.SKETCH] >> np.uint64(32)).astype(np.uint32) for s in sets]
+    for x in range(len(docs)):
+        y = np.array([k for k in range(len(docs)) if k != x])
+        proven, open_ = (set(k.tolist()) for k in minhash_dedup._compare(x, y, size, sketch, 75))
+        for k in y.tolist():
+            both = len(np.intersect1d(sets[x], sets[k]))
+            link = 100 * both >= 75 * (len(sets[x]) + len(sets[k]) - both)
+            assert not link or k in proven | open_
+            assert link or k not in proven
+            if max(size[x], size[k]) <= minhash_dedup.SKETCH:
+                assert link == (k in proven | open_)
+
+
+def test_tile_pairs_keep_components():
+    """What a tile leaves joins the same vectors as all its links do."""
+    import pandas as pd
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    start = [r.choice(words) for _ in range(120)]
+    docs = []
+    for _ in range(60):
+        copy = list(start)
+        for _ in range(r.randint(0, 8)):
+            copy[r.randrange(len(copy))] = r.choice(words)
+        docs.append(" ".join(copy))
+    sets = minhash_dedup.shingle_sets(docs)
+    sig = minhash_dedup.signatures(sets)
+    n = len(docs)
+    rows = [
+        (k << 32, 0, 0, 2, i, i, sig[i], sum(1 << c for c in range(minhash_dedup.K)) - (1 << 64), len(sets[i]), (sets[i][: minhash_dedup.SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes())
+        for k in range(minhash_dedup.K)
+        for i in range(n)
+    ]
+    pdf = pd.DataFrame(rows, columns=["token", "i", "j", "side", "rep", "c", "sig", "pre", "size", "sketch"])
+    got = minhash_dedup._tile_pairs(75)(pdf)
+
+    def groups(pairs):
+        label = list(range(n))
+        for a, b in pairs:
+            x, y = label[a], label[b]
+            label = [x if v == y else v for v in label]
+        return {frozenset(i for i in range(n) if label[i] == v) for v in label}
+
+    def linked(a, b):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        return 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both)
+
+    kept = [(a, b) for a, b in zip(got["a"], got["b"], strict=True) if linked(a, b)]
+    every = [(a, b) for a, b in itertools.combinations(range(n), 2) if linked(a, b) and (sig[a] == sig[b]).sum() >= minhash_dedup.T]
+    assert groups(kept) == groups(every)
+    assert len(got) < max(len(every), n * 3)
+
+
+def test_parts_at_marks():
+    """Marks, runs of spaces and unknown characters give the library's ids."""
+    import sentencepiece
+
+    file = P.path("piece_bpe_32k.model")
+    sp, mine, r = sentencepiece.SentencePieceProcessor(model_file=file), sentencepiece_stream.codec(file), random.Random(7)
+    for _ in range(3000):
+        t = "".join(r.choice("aeinrst ,._-0123éß\n\t中☃{}();'  ▁A”»“") for _ in range(r.randint(0, 40)))
+        assert np.frombuffer(mine.encode([t])[0], mine.kind).tolist() == sp.encode(t.replace("▁", " "))
