@@ -6,7 +6,9 @@ letters, digits and non-ASCII bytes one space). A fingerprint is the hash of
 stretch of ``K + W - 1`` bytes shares one. The templates' fingerprints form an
 inverted index, whose size depends on the templates only. A document that posts
 under a template is aligned to it word by word, in a band around the diagonal of
-the hit.
+the hit. Of a long template a share of the words must match. A notice, of at most
+``BAND`` words, must also have all words that name the license, in order and with
+no other word before or between them.
 """
 
 from __future__ import annotations
@@ -48,6 +50,10 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+#: Words of notices that do not tell licenses apart, and those of them that may stand anywhere in a notice.
+FILLERS = frozenset("a an and in into is of only or terms that the this to".split())
+PLAIN = FILLERS | frozenset("conditions distributed free international license licensed licence released software under version".split())
+
 _GAPS = re.compile(rb"[^a-z0-9\x80-\xff]+")
 _WORD = re.compile(r"[A-Za-z0-9\u0080-\U0010ffff]+")
 
@@ -137,6 +143,27 @@ def align(template: list[str], words: list[str], offset: int, band: int = BAND)
     return best
 
 
+def named(template: list[str], words: list[str]) -> int:
+    """Number of words up to the end of the license's name in ``words``, 0 if it isn't there: all words of ``template`` that aren't plain (all of them, if it has no others) in order, with nothing but fillers and the template's own words between, and a plain word or none before."""
+    must = [i for i, w in enumerate(template) if w not in PLAIN] or list(range(len(template)))
+    core = template[must[0] : must[-1] + 1]
+    needed = [i - must[0] for i in must]
+    for p, w in enumerate(words):
+        if w != core[0] or p and words[p - 1] not in PLAIN:
+            continue
+        i, j = 1, p + 1  # words of the name and of the document that are read
+        while i < len(core) and j < len(words):
+            k = next((k for k in range(i, len(core)) if core[k] == words[j]), None)
+            if k is not None and not any(i <= n < k for n in needed):
+                i = k + 1
+            elif words[j] not in FILLERS:
+                break
+            j += 1
+        if i == len(core):
+            return j
+    return 0
+
+
 def scan(index: Index, text: str, hits: list[tuple[int, int]], coverage: float) -> list[dict]:
     """Matched templates of one text with character spans; overlapping weaker matches are dropped."""
     spans = [m.span() for m in _WORD.finditer(text)]
@@ -152,7 +179,14 @@ def scan(index: Index, text: str, hits: list[tuple[int, int]], coverage: float)
     for name, offset in sorted(tries):
         t = index.words[name]
         m, a, z = align(t, words, offset, BAND if len(t) > BAND else 3)
-        if m >= coverage * len(t) and z > a:
+        if m < coverage * len(t) or z <= a:
+            continue
+        if len(t) > BAND or words[a:z] == t:
+            good = True
+        else:  # "MIT-0" and "MIT-like" are other names than "MIT"
+            end = a + named(t, words[a:z])
+            good = end > a and (text[spans[end - 1][1] : spans[end][0]] != "-" or words[end] in PLAIN if end < len(words) else True)
+        if good:
             found.append({"template": name, "coverage": round(m / len(t), 6), "start": spans[a][0], "end": spans[z - 1][1], "matched": m})
     found.sort(key=lambda f: (-f["matched"], -f["coverage"], f["start"], f["end"], f["template"]))
     out = []

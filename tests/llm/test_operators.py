@@ -343,3 +343,32 @@ def test_parts_at_marks():
     for _ in range(3000):
         t = "".join(r.choice("aeinrst ,._-0123éß\n\t中☃{}();'  ▁A”»“") for _ in range(r.randint(0, 40)))
         assert np.frombuffer(mine.encode([t])[0], mine.kind).tolist() == sp.encode(t.replace("▁", " "))
+
+
+@pytest.mark.parametrize(
+    "line, want",
+    [
+        ("Released under the BSD License", ["BSD-notice"]),
+        ("Licensed under the EPL License", []),
+        ("Released under the Zope Public License", []),
+        ("Licensed under the Modified MIT License", []),
+        ("Licensed under the MIT-0 License", []),
+        ("Licensed under the terms of the MIT License", ["MIT-notice-2"]),
+        ("Released under MIT License", ["MIT-notice"]),
+        ("Licensed under CC BY-ND 4.0", []),
+        ("Licensed under CC BY-NC-SA 4.0", []),
+        ("Licensed under CC BY 3.0", []),
+        ("Licensed under CC BY-SA 4.0", ["CC-BY-SA-4.0-notice"]),
+        ("Licensed under the Apache License, Version 1.1", []),
+        ("Licensed under the Apache License 2.0", ["Apache-2.0-notice"]),
+        ("licensed under the GNU Affero General Public License, version 2", []),
+        ("licensed under the GNU Lesser General Public License, version 3", ["LGPL-notice"]),
+        ("licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", []),
+        ("This is free and unencumbered software released in the public domain.", ["Unlicense"]),
+    ],
+)
+def test_notices_of_other_licenses(line, want):
+    index = license_scan.Index(license_scan.TEMPLATES)
+    for text in (line, f"Some words in front.\n{line}. And words behind it"):
+        hits = index.hits([license_scan.normal(text)])
+        assert [f["template"] for f in license_scan.scan(index, text, hits.get(0, []), license_scan.COVERAGE)] == want, text
