@@ -1,0 +1,14 @@
+"""Stages of the corpus pipeline on small tables."""
+
+import corpus_pipeline
+
+
+def rows(spark, *given):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_minhash_keeps_documents_without_id(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    d = rows(spark, (1, text), (2, text), (None, text), (None, "another text that has no id"), (None, None), (3, "a text of its own"))
+    got = corpus_pipeline.minhash(spark, d, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(0, ""), (0, text), (0, "another text that has no id"), (1, text), (3, "a text of its own")])
