@@ -407,13 +407,22 @@ def _(t):
     return res.resolve_closed(res.mentions(asked, "m"), res.vocabulary(t.customer, "c_mktsegment"))
 
 
-@query("knn_topk", "SELECT q.vec_id AS query_id, v.vec_id AS id FROM embeddings q, embeddings v WHERE q.vec_id < 5 AND v.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9), v.vec_id) <= 10")
-def _(t):
-    q = t.embeddings.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+def _nearest(t, asked):
+    q = t.embeddings.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     d = F.round(1 - matching.cosine(F.col("q"), F.col("embedding")), 9)
     return res.knn(q, t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), d, 10, F.col("id") != F.col("query_id")).select("query_id", "id")
 
 
+@query("knn_topk", "SELECT q.vec_id AS query_id, v.vec_id AS id FROM embeddings q, embeddings v WHERE q.vec_id < 5 AND v.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9), v.vec_id) <= 10")
+def _(t):
+    return _nearest(t, "vec_id < 5")
+
+
+@query("knn_topk_whole", "SELECT q.vec_id AS query_id, v.vec_id AS id FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9), v.vec_id) <= 10")
+def _(t):
+    return _nearest(t, "vec_id % 50 = 0")
+
+
 @query("name_ambiguity", "SELECT p_name, CAST(count(DISTINCT p_partkey) AS BIGINT) AS n, list(p_partkey ORDER BY p_retailprice, p_partkey)[1] AS first_id FROM part GROUP BY p_name HAVING n > 1")
 def _(t):
     return questions.ambiguous_names(t.part, "p_name", "p_partkey", [F.col("p_retailprice")]).select("p_name", "n", F.col("ids")[0].alias("first_id"))
