@@ -9,7 +9,7 @@ import time
 from starloom.plans import suite
 from starloom.session import local_session
 
-HEADLINE = ["page_with_total", "bridge_join_distinct", "neighbour_self_join", "division_all_of", "rank_count_distinct", "group_concat_distinct", "pivot_max_case", "nearest_rank_percentile", "top_n_per_group", "known_for_top3", "first_per_key", "lag_lead_neighbours", "distinct_hidden_sort", "union_content_aligned", "levenshtein_block_join", "entity_resolution", "knn_topk_whole", "cache_latest", "upsert_latest_wins", "cross_join_conditional_counts"]
+HEADLINE = ["page_with_total", "bridge_join_distinct", "neighbour_self_join", "division_all_of", "rank_count_distinct", "group_concat_distinct", "pivot_max_case", "nearest_rank_percentile", "top_n_per_group", "known_for_top3", "first_per_key", "lag_lead_neighbours", "distinct_hidden_sort_whole", "union_content_aligned", "levenshtein_block_join_whole", "entity_resolution", "knn_topk_whole", "cache_latest", "upsert_latest_wins", "cross_join_conditional_counts"]
 
 
 def main() -> None:

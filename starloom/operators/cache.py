@@ -40,6 +40,16 @@ def twins(cache: DataFrame) -> DataFrame:
     return raw.join(anon, on).withColumn("same_sql", (F.col("raw_sql") == F.col("anon_sql")).cast("int"))
 
 
+def twin_counts(cache: DataFrame) -> DataFrame:
+    """(pairs, same_sql): numbers of all ``twins`` and of those that agree, from counts of each key and SQL text instead of pairs."""
+    on = ["QUESTION_HASHED", "API_VERSION", "UI_LANGUAGE", "QUESTION"]
+    anon = F.coalesce("IS_ANONYMIZED", F.lit(0))
+    x = cache.dropna(subset=on).groupBy(*on, "SQL_QUERY").agg(F.count_if(anon == 0).alias("r"), F.count_if(anon == 1).alias("a"))
+    same = F.when(F.col("SQL_QUERY").isNotNull(), F.col("r") * F.col("a")).otherwise(0)
+    x = x.groupBy(*on).agg((F.sum("r") * F.sum("a")).alias("pairs"), F.sum(same).alias("same_sql"))
+    return x.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pairs", "same_sql")])
+
+
 def poisoned(cache: DataFrame, pattern: str) -> DataFrame:
     """Anonymised entries whose SQL holds a literal name instead of a placeholder."""
     return cache.where((F.col("IS_ANONYMIZED") == 1) & F.col("SQL_QUERY").rlike(pattern))

@@ -181,13 +181,22 @@ def _(t):
     return res.canonical(hits, "alias", t.supplier, "s_suppkey", "s_name").select(F.col("id").alias("c_custkey"), "name")
 
 
-@query("levenshtein_block_join", "WITH q AS (SELECT DISTINCT lower(replace(c_name, '#', '')) AS k FROM customer WHERE c_custkey <= 40), n AS (SELECT lower(replace(s_name, '#', '')) AS k, s_suppkey FROM supplier) SELECT q.k AS mention, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'supplier' || right(k, 9) AS k FROM q) q JOIN n ON levenshtein(q.k, n.k) <= 3 GROUP BY q.k")
-def _(t):
-    q = t.customer.where("c_custkey <= 40").select(F.concat(F.lit("supplier"), F.expr("right(c_name, 9)")).alias("m"))
+def _near_names(t, asked):
+    q = asked.select(F.concat(F.lit("supplier"), F.expr("right(c_name, 9)")).alias("m"))
     hits = res.distance_matches(res.mentions(q, "m"), res.with_keys(t.supplier, "s_suppkey", "s_name"))
     return hits.groupBy("mention").agg(F.count("*").alias("n"))
 
 
+@query("levenshtein_block_join", "WITH q AS (SELECT DISTINCT lower(replace(c_name, '#', '')) AS k FROM customer WHERE c_custkey <= 40), n AS (SELECT lower(replace(s_name, '#', '')) AS k, s_suppkey FROM supplier) SELECT q.k AS mention, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'supplier' || right(k, 9) AS k FROM q) q JOIN n ON levenshtein(q.k, n.k) <= 3 GROUP BY q.k")
+def _(t):
+    return _near_names(t, t.customer.where("c_custkey <= 40"))
+
+
+@query("levenshtein_block_join_whole", "WITH q AS (SELECT DISTINCT lower(replace(c_name, '#', '')) AS k FROM customer), n AS (SELECT lower(replace(s_name, '#', '')) AS k, s_suppkey FROM supplier) SELECT q.k AS mention, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'supplier' || right(k, 9) AS k FROM q) q JOIN n ON levenshtein(q.k, n.k) <= 3 GROUP BY q.k")
+def _(t):
+    return _near_names(t, t.customer)
+
+
 # --- aggregation
 
 
@@ -319,6 +328,11 @@ def _(t):
     return rel.distinct_sorted(t.part, ["p_brand", "p_type"], [("p_retailprice", True)]).limit(40)
 
 
+@query("distinct_hidden_sort_whole", "SELECT p_brand, p_type FROM part GROUP BY p_brand, p_type ORDER BY max(p_retailprice) DESC, p_brand, p_type")
+def _(t):
+    return rel.distinct_sorted(t.part, ["p_brand", "p_type"], [("p_retailprice", True)])
+
+
 @query("limit_rewrite_page", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 25")
 def _(t):
     t.register("orders")
@@ -355,6 +369,12 @@ def _(t):
     return cache.pruned_tree(c, c.where("id IN (40, 51)").select("id"))
 
 
+@query("recursive_tree_whole", "WITH c AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 3 END AS id_parent, p_size FROM part), d AS (SELECT c1.id, c1.id_parent FROM c c1) SELECT DISTINCT a.id, CAST(a.depth AS INT) AS depth FROM (WITH RECURSIVE down(id, depth) AS (SELECT id, 0 FROM c WHERE id_parent IS NULL UNION ALL SELECT c.id, depth + 1 FROM c JOIN down ON c.id_parent = down.id) SELECT * FROM down) a JOIN (WITH RECURSIVE up(id, p) AS (SELECT id, id_parent FROM c WHERE p_size % 10 = 7 UNION ALL SELECT c.id, c.id_parent FROM c JOIN up ON up.p = c.id) SELECT * FROM up) b ON a.id = b.id")
+def _(t):
+    c = t.part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 3)).alias("id_parent"), "p_size")
+    return cache.pruned_tree(c, c.where("p_size % 10 = 7").select("id"))
+
+
 # --- text, resolution, vectors
 
 
@@ -468,6 +488,11 @@ def _(t):
     return rel.flags_summed(cache.twins(_cache(t).where("ID_ROW < 500")), {"pairs": F.lit(True), "same_sql": F.col("same_sql") == 1})
 
 
+@query("cache_twins_whole", "SELECT CAST(count(*) AS BIGINT) AS pairs, CAST(sum(CAST(a.props = b.props AS INT)) AS BIGINT) AS same_sql FROM events a JOIN events b ON a.event_type = b.event_type AND a.user_id % 2 = b.user_id % 2 AND a.event_id % 3 <> 0 AND b.event_id % 3 = 0")
+def _(t):
+    return cache.twin_counts(_cache(t))
+
+
 @query("upsert_latest_wins", "SELECT coalesce(s_suppkey, k) AS s_suppkey, CASE WHEN k IS NOT NULL THEN n ELSE s_name END AS s_name, CASE WHEN s_suppkey IS NULL THEN b ELSE s_acctbal END AS s_acctbal FROM supplier FULL JOIN (SELECT c_custkey AS k, c_name AS n, c_acctbal AS b FROM customer WHERE c_custkey % 7 = 0) ON s_suppkey = k")
 def _(t):
     changes = t.customer.where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_name").alias("s_name"), F.col("c_acctbal").alias("s_acctbal"))
