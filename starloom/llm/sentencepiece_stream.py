@@ -6,7 +6,8 @@ ends there. Pieces are at most ``max_piece`` characters long, so only the last
 the ids in front of it are committed and forgotten. Which predecessor is best
 depends on the model's kind:
 
-* unigram: the greatest sum of piece scores (ties: the longer last piece);
+* unigram: the greatest sum of piece scores (ties: the longer last piece); only
+  ``Sums`` has this step, ``Codec`` takes no such model;
 * BPE: the installed public model is of this kind, where sums of scores do not
   give the library's ids. There the best encoding of a prefix is the one that
   merging by score makes, and a piece extends an encoding exactly if merging
@@ -17,7 +18,9 @@ White space is written as U+2581, with one in front of the text. Where no piece
 holds U+2581 behind another character, every path meets in front of it: such
 parts are encoded alone and remembered. The same holds between marks
 and other characters that no piece joins, so "word," and "word" share a part. A
-part's candidate pieces come from an Aho-Corasick automaton of all pieces.
+part's candidate pieces come from an Aho-Corasick automaton of all pieces. Parts
+of over ``LONG`` characters go through the streaming window, which commits ids
+where paths meet; shorter ones keep the backpointers of the whole part.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from starloom.llm.common import ship, slices, through_memo
 SPACE = "▁"
 #: Entries of a worker's memos: encoded parts, and pairs of pieces that were tested.
 MEMO, PAIRS = 600_000, 1_000_000
+#: Characters from which a part is encoded in a streaming window.
+LONG = 4096
 #: ASCII characters that are neither letters, digits nor the space.
 MARKS = "".join(c for c in map(chr, range(128)) if c != " " and not c.isalnum())
 
@@ -139,11 +144,47 @@ class Stream:
         return self._back(len(self.s))
 
 
+def fields(data: bytes):
+    """(number, value) of the fields of a protocol buffer."""
+    at = 0
+
+    def varint():
+        nonlocal at
+        x = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            x |= (b & 127) << shift
+            if b < 128:
+                return x
+            shift += 7
+
+    while at < len(data):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+        else:
+            n = {1: 8, 5: 4}.get(tag & 7) or varint()
+            yield tag >> 3, data[at : at + n]
+            at += n
+
+
+def model_type(model: bytes) -> int:
+    """1 unigram, 2 BPE, 3 word, 4 character."""
+    trainer = next((v for k, v in fields(model) if k == 2), b"")
+    return next((v for k, v in fields(trainer) if k == 3), 1)
+
+
 class Codec:
+    """Encoder and decoder of a BPE model; others are refused, as merging does not give their ids."""
+
     def __init__(self, model_file: str):
         import ahocorasick
         import sentencepiece
 
+        with open(model_file, "rb") as f:
+            if model_type(f.read()) != 2:
+                raise ValueError("only BPE models are supported")
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         n = sp.get_piece_size()
         self.ids, scores, self.bytes_id = {}, {}, {}
@@ -181,7 +222,7 @@ class Codec:
 
     def pieces(self, s: str) -> list[str]:
         """Pieces of one part, already written with U+2581."""
-        if len(s) > 4096:
+        if len(s) > LONG:
             st = Stream(self.rule, self.max_piece)
             return st.feed(s) + st.finish()
         last, pairs, fits, ended = [""] * (len(s) + 1), self.rule.pairs, self.rule.fits, -1

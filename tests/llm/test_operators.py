@@ -372,3 +372,25 @@ def test_notices_of_other_licenses(line, want):
     for text in (line, f"Some words in front.\n{line}. And words behind it"):
         hits = index.hits([license_scan.normal(text)])
         assert [f["template"] for f in license_scan.scan(index, text, hits.get(0, []), license_scan.COVERAGE)] == want, text
+
+
+def test_long_parts_stream():
+    """Unbroken texts of over 4,096 characters, in the streaming window with merges, give the library's ids."""
+    import sentencepiece
+
+    file = P.path("piece_bpe_32k.model")
+    sp, mine, r = sentencepiece.SentencePieceProcessor(model_file=file), sentencepiece_stream.codec(file), random.Random(9)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "aeinrst", "ab", "a"):
+        t = "".join(r.choice(letters) for _ in range(sentencepiece_stream.LONG + 700))
+        assert np.frombuffer(mine.encode([t])[0], mine.kind).tolist() == sp.encode(t)
+
+
+def test_only_bpe_models(tmp_path):
+    import sentencepiece
+
+    (tmp_path / "t.txt").write_text("\n".join(t.replace("\n", " ") for t in texts() if t))
+    for kind in ("unigram", "bpe"):
+        sentencepiece.SentencePieceTrainer.train(input=str(tmp_path / "t.txt"), model_prefix=str(tmp_path / kind), model_type=kind, vocab_size=60, hard_vocab_limit=False, minloglevel=2)
+    with pytest.raises(ValueError):
+        sentencepiece_stream.Codec(str(tmp_path / "unigram.model"))
+    assert sentencepiece_stream.Codec(str(tmp_path / "bpe.model")).ids
