@@ -58,9 +58,31 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._starloom_shipped = True
 
 
-def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """Deal rows out evenly when a source has fewer splits than the cluster has cores."""
-    return df.repartition(parts or df.sparkSession.sparkContext.defaultParallelism)
+#: Keys with more than one row in so many are salted, so there are fewer of them than that; and over how many salts.
+HOT, SALTS = 1024, 32
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", columns: list | None = None) -> DataFrame:
+    """Join ``left`` to a side with few rows a key; rows of hot keys are dealt over ``SALTS`` copies of the other side's.
+
+    A key is hot if over one in ``HOT`` rows of ``left`` hold it, so less than
+    ``HOT`` keys are, whatever the input, and they may be sent to every task.
+    ``how`` is inner, left, left_semi or left_anti; null keys match nothing.
+    ``columns`` tell the rows of a key apart, by default all of ``left``'s but the keys.
+    """
+    counts = left.select(*keys).dropna().groupBy(*keys).agg(F.count("*").alias("_n"))
+    spark = left.sparkSession
+    total = left.count()
+    hot = counts.where(F.col("_n") > max(1, total // HOT)).select(*keys).limit(HOT).collect()
+    if not hot:
+        return left.join(right, keys, how)
+    kinds = ", ".join(f"`{k}` {left.schema[k].dataType.simpleString()}" for k in keys)
+    held = F.broadcast(spark.createDataFrame(hot, kinds).withColumn("_hot", F.lit(True)))
+    by = columns or [c for c in left.columns if c not in keys]
+    salt = F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
+    x = left.join(held, keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
+    y = right.join(held, keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return x.join(y, [*keys, "_salt"], how).drop("_salt")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

@@ -14,8 +14,10 @@ root over its chunk names; a reader recomputes chunk names and roots.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -25,65 +27,96 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from starloom.llm.common import discard, materialise, scratch, ship, slices, through_memo
+from starloom.llm.common import discard, materialise, salted_join, scratch, ship, slices
 
 WINDOW = 16
 #: Chunks hold 64 to 1024 ids, about 64 + 256 on average.
 LEAST, MOST, MASK = 64, 1024, np.uint64(255 << 40)
-#: Entries of a worker's memos of encoded words and of parts of words; what is beyond them is encoded anew in each batch.
-MEMO, PARTS = 300_000, 800_000
+#: Entries of a worker's memo of encoded parts of texts; what is beyond them is encoded anew wherever it stands.
+MEMO = 1_000_000
+#: Chunk names that a task remembers so as to pass on their bytes once; what is beyond them is only found later.
+SEEN = 500_000
 
 _SPACE_BEFORE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
-#: Parts of a word at which the pre-tokeniser surely cuts too: letters of old blocks, marks other than apostrophes, single line feeds.
-_SUB = re.compile(r"\n| ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f]+| ?[.,!?;:$%&*#|\"()\[\]/+=<>-]+")
+# Characters whose class the pre-tokeniser surely shares: letters of old blocks, ASCII digits, ASCII marks but the apostrophe.
+_L, _D, _M = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f", "0-9", r"!\"#$%&()*+,./:;<=>?@\[\\\]\^_`{|}~\-"
+_NEXT = f"(?![^{_L}{_D}{_M} \\n])"
+#: Whole pre-tokens of a text: runs of one class up to a known character or the end, line feeds before one; else all up to the next space.
+_PARTS = re.compile(f" ?[{_L}]++{_NEXT}| ?[{_M}]++{_NEXT}| ?[{_D}]++{_NEXT}|\\n(?=[{_L}{_D}{_M}])|\\n+(?=\\n[{_L}{_D}{_M}])|\\n+\\Z| ?[^ ]+| ")
+#: Parts that are one pre-token and may go to the model directly.
+_ONE = re.compile(f" ?(?:[{_L}]+|[{_M}]+|[{_D}]+)")
+
+
+def _alphabet() -> dict[int, str]:
+    """Byte to the character that stands for it in a byte-level vocabulary: printable ones themselves, the others from U+0100 on."""
+    out = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+    for b in range(256):
+        out.setdefault(b, chr(256 + len(out) - 188))
+    return out
 
 
-class WordMemo:
-    """Ids of whole texts through ids of space-led words.
+class Parts(dict):
+    """Packed ids of parts of texts, encoded when first asked for; at most ``MEMO`` are kept."""
+
+    def __init__(self, tokenizer, kind: str, added: list[str]):
+        super().__init__()
+        self.added = added
+        self.tokenizer, self.model, self.letters, self.code = tokenizer, tokenizer.model, _alphabet(), "I" if kind == "<u4" else "H"
+        self.space = self.letters[32]
 
-    A byte-level pre-tokeniser never joins a non-space character to a following
-    space, so a text may be cut in front of every space that follows a
-    non-space character and the parts encoded alone. Frequent words are then
-    encoded once for a worker. Texts with other white space in front of a space
-    are cut with a regular expression by the same rule.
+    def __missing__(self, part: str) -> bytes:
+        if _ONE.fullmatch(part) and not any(a in part for a in self.added):
+            letters = part.replace(" ", self.space) if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            got = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+        else:
+            got = array(self.code, self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        if len(self) < MEMO:
+            self[part] = got
+        return got
+
+
+class WordMemo:
+    """Ids of whole texts through ids of their pre-tokens.
+
+    A byte-level pre-tokeniser cuts between letters, digits and marks and in
+    front of every space that follows a non-space character, so the parts may
+    be encoded alone; those that are one pre-token for sure go to the library's
+    model, others to its whole encoder. Frequent parts are encoded once for a
+    worker. Texts with other white space in front of a space, or with an added
+    token, are cut at spaces first. Tokenizers of other kinds, and texts with an
+    added token that holds a space, encode whole texts.
     """
 
     def __init__(self, tokenizer, wide: bool):
         self.tokenizer, self.kind = tokenizer, "<u4" if wide else "<u2"
+        said = json.loads(tokenizer.to_str())
+        pre, model = said.get("pre_tokenizer") or {}, said["model"]
+        odd = any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "dropout"))
+        self.whole = bool(said.get("normalizer")) or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or model["type"] != "BPE" or odd
         added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         # added tokens are matched before all else: words that hold one aren't cut, nor texts that hold one with a space
         self.added, self.spaced = [a for a in added if " " not in a], [a for a in added if " " in a]
-        self.memo: dict[str, bytes] = {}
-        self.subs: dict[str, bytes] = {}
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words that the memo lacks, through the memo of their parts."""
-        cut = []
-        for w in words:
-            parts = _SUB.findall(w)
-            if sum(map(len, parts)) != len(w) or "\n\n" in w or w[:2] == " \n" or w[:1] == "\n" or any(a in w for a in self.added):
-                parts = [w]
-            cut.append(parts)
-        return through_memo(cut, self.subs, PARTS, self._encode)
+        self.memo = Parts(tokenizer, self.kind, added)
+
+    def parts(self, text: str) -> list[str]:
+        if self.spaced and any(a in text for a in self.spaced):
+            return [text]
+        if not _SPACE_BEFORE.search(text) and not any(a in text for a in self.added):
+            return _PARTS.findall(text)
+        out = []
+        for p in _CUT.split(text):
+            if _SPACE_BEFORE.search(p) or any(a in p for a in self.added):
+                out.append(p)
+            else:
+                out += _PARTS.findall(p)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = []
-        for t in texts:
-            if self.spaced and any(a in t for a in self.spaced):
-                cut.append([t])
-            elif _SPACE_BEFORE.search(t):
-                parts = _CUT.split(t)
-                cut.append([parts[0], *[p[1:] for p in parts[1:]]])
-            else:
-                cut.append(t.split(" "))
-        firsts = list({p[0] for p in cut})
-        heads = dict(zip(firsts, self._words(firsts), strict=True))
-        rest = through_memo([p[1:] for p in cut], self.memo, MEMO, lambda new: self._words([" " + p for p in new]))
-        return [heads[p[0]] + r for p, r in zip(cut, rest, strict=True)]
+        if self.whole:
+            return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        look = self.memo.__getitem__
+        return [b"".join(map(look, self.parts(t))) for t in texts]
 
 
 @lru_cache(maxsize=4)
@@ -102,18 +135,20 @@ def _gear() -> np.ndarray:
     return np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, 65536, dtype=np.uint64)
 
 
-def boundaries(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def _marks(ids: np.ndarray) -> np.ndarray:
+    """Positions behind which the rolling hash allows a cut; those with less than ``LEAST`` ids of a stream in front aren't used, so streams may stand in one array."""
     g = _gear()[ids & 0xFFFF] * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64)
     h, width = g.copy(), 1
     while width < WINDOW:  # h[i] = sum of g[i-k] << k over the window, by doubling
         h[width:] = h[width:] + (h[:-width] << np.uint64(width))
         width *= 2
-    ends, at = [], 0
-    for c in (np.flatnonzero((h & MASK) == 0) + 1).tolist():
+    return np.flatnonzero((h & MASK) == 0) + 1
+
+
+def _ends(marks: list[int], at: int, n: int) -> list[int]:
+    """Ends of the chunks of the stream from ``at`` to ``n``."""
+    ends = []
+    for c in marks:
         while c - at > MOST:
             at += MOST
             ends.append(at)
@@ -128,6 +163,11 @@ def boundaries(ids: np.ndarray) -> list[int]:
     return ends
 
 
+def boundaries(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one id stream."""
+    return _ends(_marks(ids).tolist(), 0, len(ids))
+
+
 def name_of(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
@@ -149,44 +189,47 @@ def _encoder(path: str, end_id: int | None):
         from pyspark import TaskContext
 
         memo, row, seen = _worker(path), TaskContext.get().partitionId() << 33, set()
-        wide = memo.kind == "<u4"
+        size = 4 if memo.kind == "<u4" else 2
         end = b"" if end_id is None else np.array([end_id], memo.kind).tobytes()
-        size = 4 if wide else 2
         for whole in batches:
             for b in slices(whole):
-                out = [[] for _ in _STAGED]
-                for doc, got in zip(b.column(0).to_pylist(), memo.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                    stream = got + end
-                    ids = np.frombuffer(stream, memo.kind)
-                    ends = boundaries(ids)
-                    parts = [stream[a * size : z * size] for a, z in zip([0, *ends], ends)]
-                    names = [name_of(p) for p in parts]
-                    root = merkle_root(names)
-                    for seq, (p, name) in enumerate(zip(parts or [b""], names or [b""], strict=True)):
-                        first = name not in seen
-                        if first and len(seen) < 1_000_000:
-                            seen.add(name)
-                        for c, v in zip(out, (doc, row, seq, name, len(p) // size, size, len(ids), len(parts), root if seq == 0 else None, p if first and p else None), strict=True):
-                            c.append(v)
-                    row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _STAGED, strict=True)], schema=_STAGED)
+                streams = [s + end for s in memo.encode([t or "" for t in b.column(1).to_pylist()])]
+                flat = b"".join(streams)
+                n = np.fromiter(map(len, streams), np.int64, len(streams)) // size
+                stop = np.cumsum(n)
+                marks = _marks(np.frombuffer(flat, memo.kind))
+                # marks up to a stream's own last id
+                cut = np.searchsorted(marks, np.concatenate([[0], stop]), "right").tolist()
+                marks, ends, counts = marks.tolist(), [], []
+                for i, (at, to) in enumerate(zip((stop - n).tolist(), stop.tolist(), strict=True)):
+                    mine = _ends(marks[cut[i] : cut[i + 1]], at, to) or [at]  # no ids: one row without a chunk
+                    ends += mine
+                    counts.append(len(mine))
+                counts, ends = np.array(counts, np.int64), np.array(ends, np.int64)
+                first = np.cumsum(counts) - counts
+                starts = np.concatenate([[0], ends[:-1]])
+                names, data = [], []
+                for a, z in zip((starts * size).tolist(), (ends * size).tolist(), strict=True):
+                    p = flat[a:z]
+                    name = name_of(p) if p else b""
+                    new = bool(p) and name not in seen
+                    if new and len(seen) < SEEN:
+                        seen.add(name)
+                    names.append(name)
+                    data.append(p if new else None)
+                roots = [None] * len(names)
+                for a, k, m in zip(first.tolist(), counts.tolist(), n.tolist(), strict=True):
+                    roots[a] = merkle_root(names[a : a + k] if m else [])
+                owner = np.repeat(np.arange(len(n)), counts)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(owner)), pa.array(row + owner), pa.array((np.arange(len(names)) - first[owner]).astype(np.int32)), pa.array(names, pa.binary()), pa.array((ends - starts).astype(np.int32)), pa.array(np.full(len(names), size, np.int32)), pa.array(n[owner]), pa.array(np.where(n > 0, counts, 0)[owner].astype(np.int32)), pa.array(roots, pa.binary()), pa.array(data, pa.binary())],
+                    schema=_STAGED,
+                )
+                row += len(n)
 
     return run
 
 
-def _once(batches):
-    """Keep a chunk's first row; rows of one name are in one task."""
-    seen = set()
-    for b in batches:
-        keep = []
-        for i, h in enumerate(b.column(0).to_pylist()):
-            if h not in seen:
-                seen.add(h)
-                keep.append(i)
-        if keep:
-            yield b.take(pa.array(keep))
-
-
 def _running(batches):
     from pyspark import TaskContext
 
@@ -203,28 +246,37 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
 
     Null texts count as empty; with an end id they still hold that id. Null ids
     sort first; repeated ids are separate documents, told apart by row_id.
-    Other columns are not read. An empty table gives empty files.
+    Other columns are not read. An empty table gives empty files. Recipes and
+    manifest are in ascending order within a file and from one to the next.
     """
     spark = docs.sparkSession
     ship(spark)
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    staged_at = scratch(spark, "staged")
+    staged_at, running_at = scratch(spark, "staged"), scratch(spark, "running")
     s = materialise(cols.mapInArrow(_encoder(tokenizer, end_id), _STAGED_SPARK), "staged", staged_at)
-    chunks = s.where("data IS NOT NULL").select("hash", "width", "n_ids", "data").repartition("hash")
-    chunks.mapInArrow(_once, chunks.schema).write.option("compression", "zstd").mode("overwrite").parquet(f"{path}/chunks")
-    s.where("n_chunks > 0").select("doc_id", "row_id", "seq", "hash", "n_ids").repartitionByRange("doc_id", "row_id", "seq").sortWithinPartitions("doc_id", "row_id", "seq").write.option("compression", "zstd").mode("overwrite").parquet(f"{path}/recipes")
+    # a task passes on a chunk's bytes once, so a name comes about once a task; its first row stays
+    earlier = F.lag(F.lit(1)).over(Window.partitionBy("hash").orderBy("row_id", "seq"))
+    chunks = s.where("data IS NOT NULL").select("hash", "width", "n_ids", "data", earlier.alias("_earlier"))
+    _store(chunks.where("_earlier IS NULL").drop("_earlier"), f"{path}/chunks")
+    _store(s.where("n_chunks > 0").select("doc_id", "row_id", "seq", "hash", "n_ids").repartitionByRange("doc_id", "row_id", "seq").sortWithinPartitions("doc_id", "row_id", "seq"), f"{path}/recipes")
     d = s.where("seq = 0").select("doc_id", "row_id", "n_tokens", "n_chunks", "root").repartitionByRange("doc_id", "row_id").sortWithinPartitions("doc_id", "row_id")
-    d = materialise(d.mapInArrow(_running, T.StructType([*d.schema.fields, T.StructField("part", T.LongType()), T.StructField("local_start", T.LongType())])), "running")
-    # One row for each file, so this window stays small whatever the input.
+    d = materialise(d.mapInArrow(_running, T.StructType([*d.schema.fields, T.StructField("part", T.LongType()), T.StructField("local_start", T.LongType())])), "running", running_at)
+    # One row for each partition, so this window stays small whatever the input.
     sums = d.groupBy("part").agg(F.sum("n_tokens").alias("s")).select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("base"))
     m = d.join(F.broadcast(sums), "part").select("doc_id", "row_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "n_chunks", "root")
-    m.sortWithinPartitions("doc_id", "row_id").write.option("compression", "zstd").mode("overwrite").parquet(f"{path}/manifest")
+    # reading packs files by size, so the order is made last
+    _store(m.repartitionByRange("doc_id", "row_id").sortWithinPartitions("doc_id", "row_id"), f"{path}/manifest")
     discard(spark, staged_at)
+    discard(spark, running_at)
+
 
+def _store(df: DataFrame, path: str) -> None:
+    df.write.option("compression", "zstd").mode("overwrite").parquet(path)
 
-@lru_cache(maxsize=4096)
-def _zeros(n_bytes: int) -> tuple[int, ...]:
-    """The crc32 state after n zero bytes, for each single bit of the state before."""
+
+@lru_cache(maxsize=64)
+def _zeros(log: int) -> np.ndarray:
+    """The crc32 state after ``2**log`` zero bytes, for each value of each byte of the state before."""
 
     def times(m, v):
         out, i = 0, 0
@@ -236,25 +288,21 @@ def _zeros(n_bytes: int) -> tuple[int, ...]:
         return out
 
     m = (0xEDB88320, *(1 << i for i in range(31)))  # one zero bit
-    for _ in range(3):
-        m = tuple(times(m, x) for x in m)
-    out = tuple(1 << i for i in range(32))
-    while n_bytes:
-        if n_bytes & 1:
-            out = tuple(times(m, x) for x in out)
+    for _ in range(3 + log):
         m = tuple(times(m, x) for x in m)
-        n_bytes >>= 1
-    return out
+    return np.array([[times(m, x << 8 * k) for x in range(256)] for k in range(4)], np.uint32)
 
 
-def crc_join(a: int, b: int, n_bytes: int) -> int:
-    """crc32 of x + y from crc32(x), crc32(y) and len(y)."""
-    i = 0
-    for row in _zeros(n_bytes):
-        if a >> i & 1:
-            b ^= row
-        i += 1
-    return b
+def crc_behind(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """What each crc32 adds, by exclusive or, to that of the bytes that end ``n_bytes`` behind its own."""
+    crc, log = crc.astype(np.uint32), 0
+    while (left := n_bytes >> log).any():
+        at = np.flatnonzero(left & 1)
+        if len(at):
+            t, c = _zeros(log), crc[at]
+            crc[at] = t[0][c & 255] ^ t[1][c >> 8 & 255] ^ t[2][c >> 16 & 255] ^ t[3][c >> 24]
+        log += 1
+    return crc
 
 
 _CHECKED = "hash binary, crc long, ok boolean"
@@ -264,34 +312,47 @@ def _checked(batches):
     for b in batches:
         crc, ok = [], []
         for name, width, n, data in zip(*(b.column(c).to_pylist() for c in ("hash", "width", "n_ids", "data")), strict=True):
-            ids = np.frombuffer(data, "<u4" if width == 4 else "<u2")
-            crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-            ok.append(name_of(data) == name and len(ids) == n)
+            crc.append(zlib.crc32(data if width == 4 else np.frombuffer(data, "<u2").astype("<u4")))
+            ok.append(name_of(data) == name and len(data) == width * n)
         yield pa.RecordBatch.from_arrays([b.column("hash"), pa.array(crc, pa.int64()), pa.array(ok)], names=["hash", "crc", "ok"])
 
 
 def _folded(batches):
     for b in batches:
-        crcs, ok = [], []
-        for parts, root, n_chunks, n_tokens in zip(*(b.column(c).to_pylist() for c in ("parts", "root", "n_chunks", "n_tokens")), strict=True):
-            parts = sorted(parts or [], key=lambda p: p["seq"])
-            crc = 0
-            for p in parts:
-                crc = crc_join(crc, p["crc"], 4 * p["n_ids"])
-            crcs.append(crc)
-            ok.append(all(p["ok"] for p in parts) and len(parts) == n_chunks and sum(p["n_ids"] for p in parts) == n_tokens and merkle_root([p["hash"] for p in parts]) == (root or b""))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crcs, pa.int64()), b.column("n_chunks"), pa.array(ok)], names=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "verified"])
+        lists, roots = b.column("parts"), b.column("root").to_pylist()
+        counts = np.array([x or 0 for x in lists.value_lengths().to_pylist()], np.int64)
+        flat, owner = lists.flatten(), np.repeat(np.arange(len(counts)), counts)
+        column = {k: flat.field(k) for k in ("seq", "n_ids", "crc", "ok")}
+        column = {k: v.to_numpy(zero_copy_only=False) for k, v in column.items()}
+        order = np.lexsort((column["seq"], owner))
+        hashes = flat.field("hash").to_pylist()
+        names = [hashes[i] for i in order.tolist()]
+        n = column["n_ids"][order].astype(np.int64)
+        stop = np.cumsum(n)
+        first = np.cumsum(counts) - counts
+        total = np.bincount(owner, weights=n, minlength=len(counts)).astype(np.int64)
+        ends = np.cumsum(total)
+        crc, good = np.zeros(len(counts), np.int64), np.ones(len(counts), bool)
+        held = np.flatnonzero(counts)
+        if len(held):
+            crc[held] = np.bitwise_xor.reduceat(crc_behind(column["crc"][order].astype(np.int64), 4 * (ends[owner] - stop)), first[held])
+            good[held] = np.logical_and.reduceat(column["ok"][order].astype(bool), first[held])
+        good &= (counts == b.column("n_chunks").to_numpy()) & (total == b.column("n_tokens").to_numpy())
+        ok = [bool(g) and merkle_root(names[a : a + k]) == (root or b"") for g, a, k, root in zip(good, first.tolist(), counts.tolist(), roots, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crc), b.column("n_chunks"), pa.array(ok)], names=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "verified"])
 
 
 def read_digest(spark: SparkSession, path: str) -> DataFrame:
     """One row for each document, from the files: offsets, crc32 of its ids, and whether names and root hold.
 
     Chunk bytes stay where they are read: their crc32 are joined to the recipes
-    and folded in order, which equals the crc32 of the joined bytes.
+    and folded in order, which equals the crc32 of the joined bytes. A chunk
+    that very many recipes name is salted. Null and repeated ids have a row for
+    each document, an empty store gives none.
     """
     ship(spark)
     chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(_checked, _CHECKED)
-    parts = spark.read.parquet(f"{path}/recipes").join(chunks, "hash")
+    parts = salted_join(spark.read.parquet(f"{path}/recipes"), chunks, ["hash"])
     per = parts.groupBy("row_id").agg(F.collect_list(F.struct("seq", "hash", "n_ids", "crc", "ok")).alias("parts"))
     m = spark.read.parquet(f"{path}/manifest").join(per, "row_id", "left")
     return m.mapInArrow(_folded, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks int, verified boolean")
@@ -303,7 +364,7 @@ def read_documents(spark: SparkSession, path: str, where: str | None = None) ->
     m = spark.read.parquet(f"{path}/manifest")
     m = m.where(where) if where else m
     r = spark.read.parquet(f"{path}/recipes").join(m.select("row_id"), "row_id", "left_semi")
-    p = r.join(spark.read.parquet(f"{path}/chunks").select("hash", "width", "data"), "hash")
+    p = salted_join(r, spark.read.parquet(f"{path}/chunks").select("hash", "width", "data"), ["hash"])
     per = p.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("seq", "width", "data"))).alias("parts"))
 
     def ids(batches):

@@ -57,9 +57,62 @@ def test_token_store(spark):
     assert token_store.read_digest(spark, path2).count() == 0
 
 
-def test_crc_join():
+def test_crc_behind():
     for a, b in ((b"", b"x"), (b"abc", b""), (b"hello" * 50, b"world" * 33)):
-        assert token_store.crc_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+        assert int(token_store.crc_behind(np.array([zlib.crc32(a)]), np.array([len(b)]))[0]) ^ zlib.crc32(b) == zlib.crc32(a + b)
+
+
+def test_token_store_files_in_order(spark):
+    """Several files, one chunk that a third of all documents hold, clashing columns, repeated and null ids."""
+    r = random.Random(8)
+    same = " ".join(r.choice(["alpha", "beta", "gamma"]) for _ in range(900))
+    rows = [(None if i == 7 else 5 if i in (5, 6) else i, same if i % 3 == 0 else f"text {i} " + "".join(r.choice("abcdef ") for _ in range(400)), "x", 1) for i in range(1500)]
+    r.shuffle(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string, hash string, seq int").repartition(7)
+    path = common.scratch(spark, "t")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "5")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        token_store.write_store(d, path, P.path("byte_bpe_50k.json"))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    import glob
+
+    import pyarrow.parquet as pq
+
+    for table, key in (("manifest", ["doc_id", "row_id"]), ("recipes", ["doc_id", "row_id", "seq"])):
+        files = sorted(glob.glob(f"{path.removeprefix('file:')}/{table}/part-*"))
+        assert len(files) > 1
+        seen = [tuple(-1 if x is None else x for x in k) for f in files for k in zip(*(pq.read_table(f, columns=[c]).column(0).to_pylist() for c in key), strict=True)]
+        assert seen == sorted(seen) and len(seen) == len(set(seen))
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32, r.verified) for r in token_store.read_digest(spark, path).collect())
+    start = 0
+    for at, _, n, _, ok in got:
+        assert at == start and ok
+        start += n
+    crc = sorted(zlib.crc32(np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for _, t, *_ in rows)
+    assert sorted(x[3] for x in got) == crc
+
+
+def test_token_parts_equal_library():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    memo = token_store.WordMemo(tok, False)
+    assert not memo.whole
+    r = random.Random(5)
+    marks = ["a", "b", "Z", "é", "я", "ა", "'", "'s", " ", "  ", "\n", "\n\n", " \n", "\t", "1", "²", "½", ".", "@", "-", "—", "😀", "<|endoftext|>", "\u00a0", "\r", "\x00", "]", "^", "\u0301", "\x85", "中"]
+    odd = ["".join(r.choice(marks) for _ in range(r.randint(0, 14))) for _ in range(4000)]
+    assert [np.frombuffer(x, memo.kind).tolist() for x in memo.encode(odd)] == [x.ids for x in tok.encode_batch(odd, add_special_tokens=False)]
+    other = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    memo = token_store.WordMemo(other, False)
+    assert memo.whole
+    assert [np.frombuffer(x, memo.kind).tolist() for x in memo.encode(odd[:200])] == [x.ids for x in other.encode_batch(odd[:200], add_special_tokens=False)]
 
 
 def vectors(spark, n=300):
