@@ -70,10 +70,13 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     ``how`` is inner, left, left_semi or left_anti; null keys match nothing.
     ``columns`` tell the rows of a key apart, by default all of ``left``'s but the keys.
     """
-    counts = left.select(*keys).dropna().groupBy(*keys).agg(F.count("*").alias("_n"))
     spark = left.sparkSession
-    total = left.count()
-    hot = counts.where(F.col("_n") > max(1, total // HOT)).select(*keys).limit(HOT).collect()
+    total, bucket = left.count(), F.pmod(F.xxhash64(*keys), F.lit(4 * HOT))
+    most = max(1, total // HOT)
+    mine = left.select(*keys).dropna()
+    # a hot key fills its bucket, and few buckets are that full without one
+    full = [r[0] for r in mine.groupBy(bucket.alias("b")).count().where(F.col("count") > most).select("b").collect()]
+    hot = mine.where(bucket.isin(full)).groupBy(*keys).count().where(F.col("count") > most).select(*keys).collect() if full else []
     if not hot:
         return left.join(right, keys, how)
     kinds = ", ".join(f"`{k}` {left.schema[k].dataType.simpleString()}" for k in keys)

@@ -31,7 +31,7 @@ from starloom.llm.common import discard, materialise, salted_join, scratch, ship
 
 WINDOW = 16
 #: Chunks hold 64 to 1024 ids, about 64 + 256 on average.
-LEAST, MOST, MASK = 64, 1024, np.uint64(255 << 40)
+LEAST, MOST, MASK = 64, 1024, np.uint32(255 << 20)
 #: Entries of a worker's memo of encoded parts of texts; what is beyond them is encoded anew wherever it stands.
 MEMO = 1_000_000
 #: Chunk names that a task remembers so as to pass on their bytes once; what is beyond them is only found later.
@@ -83,8 +83,8 @@ class WordMemo:
     front of every space that follows a non-space character, so the parts may
     be encoded alone; those that are one pre-token for sure go to the library's
     model, others to its whole encoder. Frequent parts are encoded once for a
-    worker. Texts with other white space in front of a space, or with an added
-    token, are cut at spaces first. Tokenizers of other kinds, and texts with an
+    worker. Texts with runs of spaces, a space at the end or an added token are
+    cut at spaces first. Tokenizers of other kinds, and texts with an
     added token that holds a space, encode whole texts.
     """
 
@@ -102,7 +102,7 @@ class WordMemo:
     def parts(self, text: str) -> list[str]:
         if self.spaced and any(a in text for a in self.spaced):
             return [text]
-        if not _SPACE_BEFORE.search(text) and not any(a in text for a in self.added):
+        if "  " not in text and text[-1:] != " " and not any(a in text for a in self.added):
             return _PARTS.findall(text)
         out = []
         for p in _CUT.split(text):
@@ -132,15 +132,16 @@ def _worker(path: str) -> WordMemo:
 
 @lru_cache(maxsize=1)
 def _gear() -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, 65536, dtype=np.uint64)
+    return np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**32, 65536, dtype=np.uint32)
 
 
 def _marks(ids: np.ndarray) -> np.ndarray:
     """Positions behind which the rolling hash allows a cut; those with less than ``LEAST`` ids of a stream in front aren't used, so streams may stand in one array."""
-    g = _gear()[ids & 0xFFFF] * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64)
-    h, width = g.copy(), 1
+    h, width = _gear()[ids & 0xFFFF], 1
+    if ids.dtype.itemsize > 2:
+        h = h + (ids >> 16).astype(np.uint32) * np.uint32(0x9E3779B1)
     while width < WINDOW:  # h[i] = sum of g[i-k] << k over the window, by doubling
-        h[width:] = h[width:] + (h[:-width] << np.uint64(width))
+        h[width:] = h[width:] + (h[:-width] << np.uint32(width))
         width *= 2
     return np.flatnonzero((h & MASK) == 0) + 1
 
@@ -310,10 +311,15 @@ _CHECKED = "hash binary, crc long, ok boolean"
 
 def _checked(batches):
     for b in batches:
-        crc, ok = [], []
-        for name, width, n, data in zip(*(b.column(c).to_pylist() for c in ("hash", "width", "n_ids", "data")), strict=True):
-            crc.append(zlib.crc32(data if width == 4 else np.frombuffer(data, "<u2").astype("<u4")))
-            ok.append(name_of(data) == name and len(data) == width * n)
+        names, data = b.column("hash").to_pylist(), b.column("data").to_pylist()
+        width, n = b.column("width").to_numpy(), b.column("n_ids").to_numpy()
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        narrow = np.frombuffer(b"".join([d for d, w in zip(data, width.tolist(), strict=True) if w == 2]), "<u2").astype("<u4").data
+        crc, ok, at = [], [], 0
+        for name, w, d, k, good in zip(names, width.tolist(), data, (size // 2).tolist(), (size == width * n).tolist(), strict=True):
+            crc.append(zlib.crc32(narrow[at : at + k] if w == 2 else d))
+            at += k if w == 2 else 0
+            ok.append(good and name_of(d) == name)
         yield pa.RecordBatch.from_arrays([b.column("hash"), pa.array(crc, pa.int64()), pa.array(ok)], names=["hash", "crc", "ok"])
 
 
