@@ -130,24 +130,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     return total.select(F.col("u").alias("node"), F.col("p").alias("component"))
 
 
-def through_memo(cut: list[list[str]], memo: dict[str, bytes], limit: int, encode) -> list[bytes]:
-    """Join the encoded parts of each list; parts are looked up in ``memo``, which grows to ``limit`` entries."""
-    need: set[str] = set()
-    for p in cut:
-        need.update(p)
-    new = [k for k in need if k not in memo]
-    fresh = dict(zip(new, encode(new), strict=True))
-    if len(memo) + len(fresh) <= limit:
-        memo.update(fresh)
-        look = memo
-    else:
-        look = {k: memo[k] for k in need if k in memo}
-        look.update(fresh)
-        for k in new[: max(0, limit - len(memo))]:
-            memo[k] = fresh[k]
-    return [b"".join(map(look.__getitem__, p)) for p in cut]
-
-
 def slices(batch, size: int = 4_000_000):
     """Parts of an Arrow batch of (id, text) whose texts hold about ``size`` bytes; a longer text is a part of its own."""
     import pyarrow.compute as pc

@@ -1,26 +1,27 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-Each position keeps one backpointer, the last piece of the best encoding that
-ends there. Pieces are at most ``max_piece`` characters long, so only the last
-``max_piece`` positions can be extended; once their paths meet in one boundary
-the ids in front of it are committed and forgotten. Which predecessor is best
+Each boundary of the text keeps one backpointer, the last piece of the best
+encoding that ends there. A start survives as long as some longer piece may
+still begin there, so at most ``max_piece`` boundaries can be extended; they and
+the newest boundary are the window. Once all their paths meet in one boundary
+the pieces in front of it are committed and forgotten. Which predecessor is best
 depends on the model's kind:
 
-* unigram: the greatest sum of piece scores (ties: the longer last piece); only
-  ``Sums`` has this step, ``Codec`` takes no such model;
-* BPE: the installed public model is of this kind, where sums of scores do not
-  give the library's ids. There the best encoding of a prefix is the one that
-  merging by score makes, and a piece extends an encoding exactly if merging
-  the text of the two pieces gives back the two pieces. That test needs only
-  the last piece, so it is a Viterbi step with one survivor a position.
-
-White space is written as U+2581, with one in front of the text. Where no piece
-holds U+2581 behind another character, every path meets in front of it: such
-parts are encoded alone and remembered. The same holds between marks
-and other characters that no piece joins, so "word," and "word" share a part. A
-part's candidate pieces come from an Aho-Corasick automaton of all pieces. Parts
-of over ``LONG`` characters go through the streaming window, which commits ids
-where paths meet; shorter ones keep the backpointers of the whole part.
+* unigram: the greatest sum of piece scores (ties: the longer last piece);
+* BPE: there sums of scores do not give the library's ids. The best encoding of
+  a prefix is the one that merging by score makes, and a piece extends an
+  encoding exactly if merging the text of the two pieces gives back the two
+  pieces. That test needs only the last piece, so it is a Viterbi step with one
+  survivor a boundary.
+
+Models of other kinds (word, character) are refused.
+
+White space is written as U+2581, with one in front of the text. Every text goes
+through the same stream. Where no piece holds the two characters on both sides
+of a boundary, no start survives there, so everything is committed and the
+stream is as it was at its beginning: what follows depends on nothing in front.
+Texts are therefore fed from one such boundary to the next, and what a worker's
+stream committed for such a stretch is remembered and not searched again.
 """
 
 from __future__ import annotations
@@ -34,22 +35,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.common import ship, slices, through_memo
+from starloom.llm.common import ship, slices
 
 SPACE = "▁"
-#: Entries of a worker's memos: encoded parts, and pairs of pieces that were tested.
-MEMO, PAIRS = 600_000, 1_000_000
-#: Characters from which a part is encoded in a streaming window.
-LONG = 4096
+#: Entries of a worker's memos: committed stretches, and pairs of pieces that were tested.
+MEMO, PAIRS = 800_000, 1_000_000
 #: ASCII characters that are neither letters, digits nor the space.
 MARKS = "".join(c for c in map(chr, range(128)) if c != " " and not c.isalnum())
+#: Bits of the table of pieces and of their beginnings.
+PIECE, LONGER = 1, 2
+
+
+def beginnings(pieces) -> dict[str, int]:
+    """What each piece and each beginning of one is: a piece, the beginning of a longer one, or both."""
+    out: dict[str, int] = {}
+    for p in pieces:
+        out[p] = out.get(p, 0) | PIECE
+        for k in range(1, len(p)):
+            out[p[:k]] = out.get(p[:k], 0) | LONGER
+    return out
 
 
 class Merges:
     """Backpointers of a BPE model."""
 
     def __init__(self, scores: dict[str, float]):
-        self.scores, self.pairs = scores, {}
+        self.scores, self.pairs, self.table = scores, {}, beginnings(scores)
 
     def merged(self, s: str) -> list[str]:
         parts, scores = list(s), self.scores
@@ -71,77 +82,113 @@ class Merges:
             got = self.pairs[before, piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
         return got
 
-    def step(self, s: str, i: int, low: int, last: list, total: list) -> None:
-        scores = self.scores
-        for j in range(low, i):
+    def step(self, s: str, live: list[int], last: list[str], total: list[float]) -> list[int]:
+        """Append the backpointer of the boundary behind the next character; starts that survive it."""
+        i, table, pairs = len(last), self.table, self.pairs
+        alive, best = [], None
+        for j in live:
             t = s[j:i]
-            if (i - j == 1 or t in scores) and self.fits(last[j], t):
-                last[i] = t
-                return
-        raise AssertionError("no encoding")  # a single character always ends some encoding
+            kind = table.get(t, 0)
+            if kind & LONGER:
+                alive.append(j)
+            if best is None and (kind & PIECE or i - j == 1):  # a character without a piece stands alone
+                ok = pairs.get((last[j], t))
+                if ok or ok is None and self.fits(last[j], t):
+                    best = t
+        last.append(best)
+        total.append(0.0)
+        return alive
 
 
 class Sums:
     """Backpointers of a unigram model; characters outside it cost ``unknown``."""
 
     def __init__(self, scores: dict[str, float], unknown: float | None = None):
-        self.scores = scores
+        self.scores, self.table = scores, beginnings(scores)
         self.unknown = min(scores.values(), default=0.0) - 10.0 if unknown is None else unknown
 
-    def step(self, s: str, i: int, low: int, last: list, total: list) -> None:
-        best = None
-        for j in range(low, i):
+    def step(self, s: str, live: list[int], last: list[str], total: list[float]) -> list[int]:
+        """Append the backpointer of the boundary behind the next character; starts that survive it."""
+        i, table, scores = len(last), self.table, self.scores
+        alive, best, piece = [], None, None
+        for j in live:
             t = s[j:i]
-            x = self.scores.get(t, self.unknown if i - j == 1 else None)
-            if x is not None and (best is None or total[j] + x > best):
-                best, last[i] = total[j] + x, t
-        total[i] = best
+            kind = table.get(t, 0)
+            if kind & LONGER:
+                alive.append(j)
+            if kind & PIECE or i - j == 1:
+                x = total[j] + (scores[t] if kind & PIECE else self.unknown)
+                if best is None or x > best:
+                    best, piece = x, t
+        last.append(piece)
+        total.append(best)
+        return alive
 
 
 class Stream:
-    """Feed characters, get committed pieces; the window is bounded by the longest piece and the last meeting point."""
+    """Feed characters, get committed pieces.
+
+    ``s``, ``last`` and ``total`` begin at the last trimmed boundary: the text,
+    the backpointer of each boundary and the score of its best encoding.
+    ``done`` is the boundary up to which pieces were handed out, ``live`` the
+    starts that a longer piece may still use.
+    """
 
-    def __init__(self, rule, max_piece: int, every: int = 64):
-        self.rule, self.max_piece, self.every = rule, max_piece, every
-        self.s, self.last, self.total, self.at = "", [""], [0.0], 0
+    def __init__(self, rule, max_piece: int):
+        self.rule, self.max_piece = rule, max_piece
+        self.s, self.last, self.total = "", [""], [0.0]
+        self.done, self.live, self.most = 0, [], 0
 
     def _back(self, i: int) -> list[str]:
         out = []
-        while i > 0:
+        while i > self.done:
             out.append(self.last[i])
             i -= len(self.last[i])
         return out[::-1]
 
     def _meet(self) -> int:
-        live = set(range(max(0, len(self.s) - self.max_piece + 1), len(self.s) + 1))
-        while len(live) > 1:
-            i = max(live)
-            live.discard(i)
-            live.add(i - len(self.last[i]))
-        return live.pop()
+        """The boundary where the paths of all that survive meet."""
+        ends = {len(self.last) - 1, *self.live}
+        while len(ends) > 1:
+            i = max(ends)
+            ends.discard(i)
+            ends.add(i - len(self.last[i]))
+        return ends.pop()
+
+    def _trim(self) -> None:
+        d = self.done
+        before, base = self.last[d], self.total[d]
+        self.s, self.last, self.total = self.s[d:], self.last[d:], [x - base for x in self.total[d:]]
+        self.last[0] = before  # the next piece must fit the one committed before
+        self.live = [j - d for j in self.live]
+        self.done = 0
 
     def feed(self, text: str) -> list[str]:
-        out = []
-        for k in range(0, len(text), self.every):
-            self.s += text[k : k + self.every]
-            n = len(self.s)
-            self.last += [""] * (n + 1 - len(self.last))
-            self.total += [0.0] * (n + 1 - len(self.total))
-            for i in range(self.at + 1, n + 1):
-                self.rule.step(self.s, i, max(0, i - self.max_piece), self.last, self.total)
-            self.at = n
+        out, window, step = [], self.max_piece, self.rule.step
+        for k in range(0, len(text), window):
+            self.s += text[k : k + window]
+            s, last, total, live = self.s, self.last, self.total, self.live
+            for i in range(len(last), len(s) + 1):
+                live.append(i - 1)
+                live = step(s, live, last, total)
+                if not live:  # only this boundary survives
+                    out += self._back(i)
+                    self.done = i
+            self.live = live
+            if not live:  # as at the beginning, but for the piece in front
+                self.s, self.last, self.total, self.done = "", [last[-1]], [0.0], 0
+                continue
+            self.most = max(self.most, len(s) - self.done)
             m = self._meet()
-            if m:
+            if m > self.done:
                 out += self._back(m)
-                keep = self.last[m]
-                self.s, self.last, self.total = self.s[m:], self.last[m:], [x - self.total[m] for x in self.total[m:]]
-                self.last[0], self.at = "", self.at - m
-                if isinstance(self.rule, Merges):
-                    self.last[0] = keep  # the next piece must fit the one committed before
+                self.done = m
+            if self.done:
+                self._trim()
         return out
 
     def finish(self) -> list[str]:
-        return self._back(len(self.s))
+        return self._back(len(self.last) - 1)
 
 
 def fields(data: bytes):
@@ -176,15 +223,15 @@ def model_type(model: bytes) -> int:
 
 
 class Codec:
-    """Encoder and decoder of a BPE model; others are refused, as merging does not give their ids."""
+    """Encoder and decoder of a model; the rule of its backpointers goes by the model's kind."""
 
     def __init__(self, model_file: str):
-        import ahocorasick
         import sentencepiece
 
         with open(model_file, "rb") as f:
-            if model_type(f.read()) != 2:
-                raise ValueError("only BPE models are supported")
+            kind = model_type(f.read())
+        if kind not in (1, 2):
+            raise ValueError("only unigram and BPE models are supported")
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         n = sp.get_piece_size()
         self.ids, scores, self.bytes_id = {}, {}, {}
@@ -205,75 +252,68 @@ class Codec:
         self.kind = "<u2" if n <= 65536 else "<u4"
         self.table = table
         self.max_piece = max(map(len, self.ids))
-        self.rule = Merges(scores)
-        self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.memo: dict[str, bytes] = {}
-        self.finder = ahocorasick.Automaton()
-        for p in self.ids:
-            self.finder.add_word(p, (len(p), p))
-        self.finder.make_automaton()
-        # parts may also end next to marks: all characters that pieces join to ASCII marks, directly or not; without byte pieces unknown ones would be one id
-        marks, plain = set(MARKS), [set(p) - {SPACE} for p in self.ids]
-        while more := set().union(*(x for x in plain if x & marks)) - marks:
-            marks |= more
-        held = re.escape("".join(sorted(marks)))
-        usable = self.cuts and self.bytes_id and not any(x.isalpha() and x.isascii() for x in marks)
-        self.split = re.compile(f" *(?:[^{held} ]+|[{held}]+)| +").findall if usable else None
+        self.rule = Merges(scores) if kind == 2 else Sums(scores)
+        self.memo = Stretches(self)
+        # without byte pieces neighbouring unknown characters would be one id, wherever a text is fed from
+        if not self.bytes_id:
+            self.split = lambda t: [t]
+        elif any(SPACE in p.lstrip(SPACE) for p in self.ids):
+            self.split = lambda t: [t]
+        else:
+            # stretches may also end next to marks: all characters that pieces join to ASCII marks, directly or not
+            marks, plain = set(MARKS), [set(p) - {SPACE} for p in self.ids]
+            while more := set().union(*(x for x in plain if x & marks)) - marks:
+                marks |= more
+            held = re.escape("".join(sorted(marks)))
+            apart = not any(x.isalpha() and x.isascii() for x in marks)
+            # runs of spaces belong to the stretch behind them
+            self.split = re.compile(f" *(?:[^{held} ]+|[{held}]+)| +" if apart else " *[^ ]+| +").findall
 
     def pieces(self, s: str) -> list[str]:
-        """Pieces of one part, already written with U+2581."""
-        if len(s) > LONG:
-            st = Stream(self.rule, self.max_piece)
-            return st.feed(s) + st.finish()
-        last, pairs, fits, ended = [""] * (len(s) + 1), self.rule.pairs, self.rule.fits, -1
-        for i, (n, t) in self.finder.iter(s):  # by end, longer pieces first
-            if i == ended:
-                continue
-            j = i + 1 - n
-            before = last[j] or s[j - 1 : j]  # a character without a piece stands alone
-            ok = pairs.get((before, t))
-            if ok or ok is None and fits(before, t):
-                last[i + 1], ended = t, i
-        out, i = [], len(s)
-        while i:
-            t = last[i] or s[i - 1]
-            out.append(t)
-            i -= len(t)
-        return out[::-1]
-
-    def _packed(self, parts: list[str]) -> list[bytes]:
-        out = []
-        for p in parts:
-            ids = []
-            for x in self.pieces(p.replace(" ", SPACE)):
-                i = self.ids.get(x)
-                if i is not None:
-                    ids.append(i)
-                elif self.bytes_id:
-                    ids += [self.bytes_id[b] for b in x.encode()]
-                elif not ids or ids[-1] != self.unk:
-                    ids.append(self.unk)
-            out.append(np.array(ids, self.kind).tobytes())
-        return out
+        """Pieces of a stretch, already written with U+2581."""
+        stream = Stream(self.rule, self.max_piece)
+        return stream.feed(s) + stream.finish()
+
+    def packed(self, stretch: str) -> bytes:
+        ids = []
+        for x in self.pieces(stretch.replace(" ", SPACE)):
+            i = self.ids.get(x)
+            if i is not None:
+                ids.append(i)
+            elif self.bytes_id:
+                ids += [self.bytes_id[b] for b in x.encode()]
+            elif not ids or ids[-1] != self.unk:
+                ids.append(self.unk)
+        return np.array(ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of whole texts."""
-        cut = []
+        look = self.memo.__getitem__
+        out = []
         for t in texts:
             t = t.replace(SPACE, " ")  # the same symbol to the model
-            if not t:
-                cut.append([])
-            elif not self.cuts:
-                cut.append([" " + t])
-            else:  # runs of spaces belong to the part behind them
-                cut.append(self.split(" " + t) if self.split else re.findall(" *[^ ]+| +", " " + t))
-        return through_memo(cut, self.memo, MEMO, self._packed)
+            out.append(b"".join(map(look, self.split(" " + t))) if t else b"")
+        return out
 
     def decode(self, packed: bytes) -> str:
         got = b"".join(map(self.table.__getitem__, np.frombuffer(packed, self.kind).tolist()))
         return got.decode("utf-8", "replace").removeprefix(" ")
 
 
+class Stretches(dict):
+    """Packed ids that the stream committed for stretches of texts; at most ``MEMO`` of bounded length are kept."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, stretch: str) -> bytes:
+        got = self.codec.packed(stretch)
+        if len(self) < MEMO and len(stretch) <= 4 * self.codec.max_piece:
+            self[stretch] = got
+        return got
+
+
 @lru_cache(maxsize=2)
 def codec(model_file: str) -> Codec:
     return Codec(model_file)

@@ -300,7 +300,7 @@ def test_streaming_viterbi():
 
     for _ in range(50):
         s = "".join(r.choice("ab") for _ in range(r.randint(1, 90)))
-        st = sentencepiece_stream.Stream(sentencepiece_stream.Sums(scores), 3, 7)
+        st = sentencepiece_stream.Stream(sentencepiece_stream.Sums(scores), 3)
         got = st.feed(s) + st.finish()
         assert "".join(got) == s and sum(scores[p] for p in got) == pytest.approx(best(s))
 
@@ -428,22 +428,74 @@ def test_notices_of_other_licenses(line, want):
 
 
 def test_long_parts_stream():
-    """Unbroken texts of over 4,096 characters, in the streaming window with merges, give the library's ids."""
+    """Unbroken texts give the library's ids, and the window stays short where paths meet."""
     import sentencepiece
 
     file = P.path("piece_bpe_32k.model")
     sp, mine, r = sentencepiece.SentencePieceProcessor(model_file=file), sentencepiece_stream.codec(file), random.Random(9)
     for letters in ("abcdefghijklmnopqrstuvwxyz", "aeinrst", "ab", "a"):
-        t = "".join(r.choice(letters) for _ in range(sentencepiece_stream.LONG + 700))
+        t = "".join(r.choice(letters) for _ in range(5000))
         assert np.frombuffer(mine.encode([t])[0], mine.kind).tolist() == sp.encode(t)
+        st = sentencepiece_stream.Stream(mine.rule, mine.max_piece)
+        st.feed(t)
+        assert st.most < 20 * mine.max_piece, letters
 
 
-def test_only_bpe_models(tmp_path):
+def model_bytes(kind, pieces):
+    """A SentencePiece model written by hand: pieces as (text, score, type); no training."""
+    import struct
+
+    def varint(x):
+        out = b""
+        while x > 127:
+            out, x = out + bytes([x & 127 | 128]), x >> 7
+        return out + bytes([x])
+
+    def held(n, data):
+        return varint(n << 3 | 2) + varint(len(data)) + data
+
+    def number(n, x):
+        return varint(n << 3) + varint(x)
+
+    out = b"".join(held(1, held(1, t.encode()) + varint(2 << 3 | 5) + struct.pack("<f", x) + number(3, k)) for t, x, k in pieces)
+    trainer = number(3, kind) + number(4, len(pieces)) + number(35, int(any(k == 6 for *_, k in pieces))) + number(40, 0) + number(41, 1) + number(42, 2)
+    return out + held(2, trainer) + held(3, held(1, b"identity") + number(3, 1) + number(4, 0) + number(5, 1))
+
+
+@pytest.mark.parametrize("with_bytes", [True, False])
+def test_unigram_model(tmp_path, with_bytes):
+    """Sums of scores (multiples of 1/64, so no rounding) against the library, with unknown characters, marks and long parts."""
     import sentencepiece
 
-    (tmp_path / "t.txt").write_text("\n".join(t.replace("\n", " ") for t in texts() if t))
-    for kind in ("unigram", "bpe"):
-        sentencepiece.SentencePieceTrainer.train(input=str(tmp_path / "t.txt"), model_prefix=str(tmp_path / kind), model_type=kind, vocab_size=60, hard_vocab_limit=False, minloglevel=2)
-    with pytest.raises(ValueError):
-        sentencepiece_stream.Codec(str(tmp_path / "unigram.model"))
-    assert sentencepiece_stream.Codec(str(tmp_path / "bpe.model")).ids
+    r = random.Random(3)
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    pieces += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if with_bytes else []
+    names = ["▁", *"abcde.,", *("".join(p) for n in (2, 3) for p in itertools.product("abc", repeat=n)), "▁a", "▁ab", "▁cab", "▁▁", "d.", "de", "abcab"]
+    pieces += [(p, -r.randint(64, 640) / 64, 1) for p in names]
+    (tmp_path / "m.model").write_bytes(model_bytes(1, pieces))
+    sp, mine = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m.model")), sentencepiece_stream.Codec(str(tmp_path / "m.model"))
+    assert isinstance(mine.rule, sentencepiece_stream.Sums)
+    for n in [*[r.randint(0, 30) for _ in range(1500)], 6000]:
+        t = "".join(r.choice("aaabbbcccde., zé☃") for _ in range(n)) if n < 6000 else "".join(r.choice("abc") for _ in range(n))
+        assert np.frombuffer(mine.encode([t])[0], mine.kind).tolist() == sp.encode(t), t
+        if with_bytes:
+            assert mine.decode(mine.encode([t])[0]) == t
+
+
+def test_models_of_other_kinds_are_refused(tmp_path):
+    for kind in (3, 4):
+        (tmp_path / "m.model").write_bytes(model_bytes(kind, [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("▁a", -1.0, 1)]))
+        with pytest.raises(ValueError):
+            sentencepiece_stream.Codec(str(tmp_path / "m.model"))
+
+
+def test_sentencepiece_rows(spark):
+    """Empty table, clashing columns, null and repeated ids, a text with one part of 9,000 characters."""
+    file = P.path("piece_bpe_32k.model")
+    assert sentencepiece_stream.round_trip(empty(spark), file).count() == 0
+    rows = [(1, "b" * 9000, "x", 1), (None, None, "x", 2), (1, "", None, 3), (1, "again", "y", 4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, restored string, ids int")
+    got = sentencepiece_stream.round_trip(d, file).collect()
+    assert len(got) == 4 and all(x.restored for x in got)
+    back = sentencepiece_stream.decode_documents(sentencepiece_stream.encode_documents(d, file), file).collect()
+    assert sorted(x.text for x in back) == sorted(t or "" for _, t, *_ in rows)
