@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -53,14 +54,71 @@ class Bridge:
     sort: tuple[Sort, ...] = ()
 
 
+@dataclass(frozen=True)
+class Neighbours:
+    """Ranked edges between rows of one entity, such as recommendations."""
+
+    name: str
+    table: str
+    entity: str
+    key: str
+    other_key: str
+    sort: tuple[Sort, ...] = ()
+
+
+@dataclass(frozen=True)
+class Siblings:
+    """Other rows of one entity with the same value in a column."""
+
+    name: str
+    entity: str
+    by: str
+
+
+@dataclass(frozen=True)
+class Children:
+    """Rows of another entity that hold this entity's id; ``rated`` counts a grandchild table's rows with a value."""
+
+    name: str
+    entity: str
+    other: str
+    other_key: str
+    sort: tuple[Sort, ...] = ()
+    rated: tuple[str, str, str, str] | None = None  # grandchild table, its key to the child, value column, name of the count
+
+
+@dataclass(frozen=True)
+class Properties:
+    """Rows of an entity linked to an item over a triple table (key, property, item), on a text key, by some properties."""
+
+    name: str
+    entity: str
+    table: str
+    key: str
+    property: str
+    item: str
+    properties: tuple[str, ...]
+    other: str
+    other_key: str
+
+
+Link = Bridge | Neighbours | Siblings | Children | Properties
+
+
 @dataclass
 class Catalog:
     entities: dict[str, Entity] = field(default_factory=dict)
     bridges: dict[str, Bridge] = field(default_factory=dict)
+    links: dict[str, Link] = field(default_factory=dict)
 
-    def add(self, *items: Entity | Bridge) -> Catalog:
+    def add(self, *items: Entity | Link) -> Catalog:
         for x in items:
-            (self.entities if isinstance(x, Entity) else self.bridges)[x.name] = x
+            if isinstance(x, Entity):
+                self.entities[x.name] = x
+            else:
+                self.links[x.name] = x
+                if isinstance(x, Bridge):
+                    self.bridges[x.name] = x
         return self
 
     def between(self, left: str, right: str) -> list[Bridge]:
@@ -78,6 +136,26 @@ class Catalog:
         return sorted(set(out))
 
 
+def contract_columns(markdown: str, section: str = "Result Columns") -> dict[str, list[str]]:
+    """Entity and its result columns from a contract's text: headings below the section's, each with names in backticks."""
+    out: dict[str, list[str]] = {}
+    inside, depth, entity = False, 0, None
+    for line in markdown.splitlines():
+        if m := re.match(r"(#+)\s+(.*?)\s*$", line):
+            level = len(m[1])
+            if not inside and section.lower() in m[2].lower():
+                inside, depth = True, level
+            elif inside and level <= depth:
+                break
+            elif inside:
+                entity = m[2].strip("`").lower()
+        elif inside and entity:
+            found = re.findall(r"`([A-Za-z_][A-Za-z0-9_]*)`", line)
+            if found:
+                out.setdefault(entity, []).extend(found)
+    return out
+
+
 def cinema_catalog() -> Catalog:
     """Entities, result columns and default sorts of the film catalogue."""
     rated = (Sort("IMDB_RATING_WEIGHTED", True),)
@@ -106,6 +184,18 @@ def cinema_catalog() -> Catalog:
         tail = ("POPULARITY",) if sort is popular else ("IMDB_RATING",)
         c.add(Entity(n, f"T_WC_T2S_{u}", key, f"{u}_NAME", (key, f"{u}_NAME", f"{u}_SOURCE", f"{u}_TYPE", image, "WIKIPEDIA_IMAGE_PATH", "OVERVIEW", *counts, *tail), sort, ((f"{u}_NAME", f"{u}_NAME_FR"),)))
     ordered = (Sort("DISPLAY_ORDER"),)
+    c.add(
+        Entity("season", "T_WC_TMDB_SEASON", "ID_SEASON", "TITLE", ("ID_SEASON", "ID_SERIE", "SEASON_NUMBER", "TITLE", "OVERVIEW", "DAT_AIR", "POSTER_PATH", "EPISODE_COUNT", "VOTE_AVERAGE"), (Sort("SEASON_NUMBER"),)),
+        Entity("episode", "T_WC_TMDB_EPISODE", "ID_EPISODE", "TITLE", ("ID_EPISODE", "ID_SEASON", "ID_SERIE", "SEASON_NUMBER", "EPISODE_NUMBER", "TITLE", "STILL_PATH"), (Sort("EPISODE_NUMBER"),)),
+        Entity("location", "T_WC_T2S_ITEM", "ID_WIKIDATA", "LABEL", ("ID_WIKIDATA", "LABEL", "DESCRIPTION"), (Sort("ID_WIKIDATA"),)),
+        Children("serie_seasons", "serie", "season", "ID_SERIE", (Sort("SEASON_NUMBER"),), ("T_WC_T2S_EPISODE", "ID_SEASON", "IMDB_RATING", "IMDB_RATED_EPISODES")),
+        Children("season_episodes", "season", "episode", "ID_SEASON", (Sort("EPISODE_NUMBER"),)),
+        Siblings("technical_siblings", "technical", "TECHNICAL_TYPE"),
+    )
+    for kind in ("movie", "serie"):
+        u = kind.upper()
+        c.add(Neighbours(f"{kind}_similar", f"T_WC_T2S_{u}_SIMILAR", kind, f"ID_{u}", f"ID_{u}_SIMILAR", ordered), Neighbours(f"{kind}_recommendations", f"T_WC_T2S_{u}_RECOMMENDATION", kind, f"ID_{u}", f"ID_{u}_RECOMMENDED", ordered))
+        c.add(Properties(f"location_{kind}", "location", "T_WC_WIKIDATA_ITEM_PROPERTY", "ID_WIKIDATA", "ID_PROPERTY", "ID_ITEM", ("P840", "P915"), kind, "ID_WIKIDATA"))
     for left in ("movie", "serie"):
         for right in ("award", "collection", "company", "list", "movement", "nomination", "technical", "topic", "network", "genre"):
             if (left, right) in (("serie", "technical"), ("movie", "network")):
@@ -129,4 +219,8 @@ def orders_catalog() -> Catalog:
         Bridge("order_supplier", "lineitem", "order", "l_orderkey", "supplier", "l_suppkey", sort=(Sort("l_linenumber"),)),
         Bridge("order_supplier_returned", "lineitem", "order", "l_orderkey", "supplier", "l_suppkey", "l_returnflag = 'R'", (Sort("l_linenumber"),)),
         Bridge("order_part", "lineitem", "order", "l_orderkey", "part", "l_partkey", sort=(Sort("l_linenumber"),)),
+        Neighbours("part_similar", "part_edges", "part", "part_a", "part_b", (Sort("rank"),)),
+        Siblings("part_siblings", "part", "p_type"),
+        Children("customer_orders", "customer", "order", "o_custkey", (Sort("o_orderdate"),), ("rated_lines", "l_orderkey", "rating", "rated")),
+        Properties("supplier_parts", "supplier", "part_properties", "part_key", "property", "item", ("P840", "P915"), "part", "p_partkey"),
     )

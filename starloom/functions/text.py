@@ -49,7 +49,7 @@ FRANCHISE_WORDS = (
     "trilogy", "duology", "tetralogy", "quadrilogy", "pentalogy", "hexalogy", "heptalogy",
     "film", "films", "movie", "movies", "series", "cinematic",
     "univers", "trilogie", "duologie", "tetralogie", "quadrilogie",
-    "pentalogie", "hexalogie", "heptalogie", "serie", "series", "cinematographique",
+    "pentalogie", "hexalogie", "heptalogie", "serie", "cinematographique",
 )
 
 
@@ -99,6 +99,17 @@ def compare_versions(a: Column | str, b: Column | str) -> Column:
     return F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
 
 
+def days_ago(n: int, today: Column | None = None) -> Column:
+    """The date ``n`` days before ``today``."""
+    return F.date_sub(F.current_date() if today is None else today, n)
+
+
+def tolerant_json(x: Column | str, schema: str) -> Column:
+    """A JSON object by its schema: fences and text around the outermost braces are dropped, what can't be read is null."""
+    inner = F.regexp_extract(col(x), r"(?s)(\{.*\})", 1)
+    return F.when(inner != "", F.from_json(inner, schema, {"mode": "PERMISSIVE"}))
+
+
 def duration_text(seconds: Column | str) -> Column:
     """Seconds as ``2 days, 3 hours, 4 minutes, 5 seconds``; zero parts are left out."""
     s = col(seconds).cast("long")
@@ -107,20 +118,36 @@ def duration_text(seconds: Column | str) -> Column:
     return F.when(s == 0, "0 seconds").otherwise(F.concat_ws(", ", *said))
 
 
-#: Families of scripts in the order in which they are tried, with the scripts that show them (fixed values).
+#: Families of scripts in the order in which they are tried, with their blocks (fixed values).
 SCRIPTS = {
-    "Hangul": r"\p{IsHangul}", "Japanese": r"\p{IsHiragana}\p{IsKatakana}", "Chinese": r"\p{IsHan}", "Cyrillic": r"\p{IsCyrillic}", "Greek": r"\p{IsGreek}",
-    "Armenian": r"\p{IsArmenian}", "Georgian": r"\p{IsGeorgian}", "Arabic": r"\p{IsArabic}", "Hebrew": r"\p{IsHebrew}", "Devanagari": r"\p{IsDevanagari}",
-    "Bengali": r"\p{IsBengali}", "Tamil": r"\p{IsTamil}", "Telugu": r"\p{IsTelugu}", "Kannada": r"\p{IsKannada}", "Malayalam": r"\p{IsMalayalam}",
-    "Thai": r"\p{IsThai}", "Ethiopic": r"\p{IsEthiopic}", "Khmer": r"\p{IsKhmer}", "Sinhala": r"\p{IsSinhala}",
-}
+    "Hangul": ((0xAC00, 0xD7AF), (0x1100, 0x11FF), (0x3130, 0x318F)),
+    "Japanese": ((0x3040, 0x309F), (0x30A0, 0x30FF), (0x31F0, 0x31FF)),
+    "Chinese": ((0x4E00, 0x9FFF), (0x3400, 0x4DBF)),
+    "Cyrillic": ((0x0400, 0x052F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)),
+    "Greek": ((0x0370, 0x03FF),),
+    "Armenian": ((0x0530, 0x058F),),
+    "Georgian": ((0x10A0, 0x10FF), (0x2D00, 0x2D2F)),
+    "Arabic": ((0x0600, 0x06FF), (0x0750, 0x077F), (0x08A0, 0x08FF)),
+    "Hebrew": ((0x0590, 0x05FF),),
+    "Devanagari": ((0x0900, 0x097F),),
+    "Bengali": ((0x0980, 0x09FF),),
+    "Tamil": ((0x0B80, 0x0BFF),),
+    "Telugu": ((0x0C00, 0x0C7F),),
+    "Kannada": ((0x0C80, 0x0CFF),),
+    "Malayalam": ((0x0D00, 0x0D7F),),
+    "Sinhala": ((0x0D80, 0x0DFF),),
+    "Thai": ((0x0E00, 0x0E7F),),
+    "Khmer": ((0x1780, 0x17FF),),
+    "Ethiopic": ((0x1200, 0x137F), (0x1380, 0x139F)),
+}
 
 
 def script(x: Column | str) -> Column:
     """The first family that occurs; ``Latin`` for other text, '' for blank or null text."""
     c = col(x)
     out = F.when(c.isNull() | (F.trim(c) == ""), "")
-    for name, chars in SCRIPTS.items():
+    for name, blocks in SCRIPTS.items():
+        chars = "".join(rf"\x{{{lo:X}}}-\x{{{hi:X}}}" for lo, hi in blocks)
         out = out.when(c.rlike(f"[{chars}]"), name)
     return out.otherwise("Latin")
 

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starloom.operators.relational import nearest_rank
+
 _OPS = {"==": lambda a, b: a == b, "=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<>": lambda a, b: a != b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, "<": lambda a, b: a < b}
 _OP = r"(==|!=|<>|>=|<=|=|>|<)"
 
@@ -136,6 +138,38 @@ def outcome(passed: str, retried: str, empty: str) -> Column:
     return F.when(p & ~r, "direct_success").when(p, "recovered_by_retry").when(r, "retried_but_failed").when(e, "gave_up_empty").otherwise("wrong_result_no_retry")
 
 
+def sql_text_score(sql: str, pattern: str) -> Column:
+    """1 if the SQL text matches the pattern anywhere, 0 if not or if there is no text; null where nothing is asserted."""
+    p = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(pattern), "&lt;", "<"), "&gt;", ">"), "&amp;", "&"))
+    text = F.trim(F.col(sql))
+    return F.when(F.coalesce(p, F.lit("")) == "", None).when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.regexp_like(text, p).cast("int"))
+
+
+def efficiency(runs: DataFrame, passed: str, seconds: str, key: list[str], budget: float = 1.0) -> DataFrame:
+    """Of each key's passing runs: number, mean, 50th and 95th percentile by nearest rank, share within the budget of all runs, and number of slow ones."""
+    ok = F.coalesce(F.col(passed).cast("boolean"), F.lit(False))
+    fast = ok & (F.col(seconds) <= budget)
+    out = runs.groupBy(*key).agg(F.count_if(ok).alias("n_passed"), F.round(F.avg(F.when(ok, F.col(seconds))), 6).alias("mean"), rate(F.count_if(fast), F.count("*")).alias("correct_and_fast"), F.count_if(ok & (F.col(seconds) > budget)).alias("correct_but_slow"))
+    for name, p in (("p50", 0.5), ("p95", 0.95)):
+        out = out.join(nearest_rank(runs.where(ok), seconds, p, key).withColumnRenamed("value", name), key, "left")
+    return out
+
+
+def slow_but_correct(runs: DataFrame, passed: str, seconds: str, budget: float = 1.0) -> DataFrame:
+    return runs.where(F.coalesce(F.col(passed).cast("boolean"), F.lit(False)) & (F.col(seconds) > budget))
+
+
+def living_assertion(df: DataFrame, most: int = 50) -> str:
+    """``ID_X IN (...)`` from a stored query's rows, in their order: one column whose name starts with ID_, 1 to ``most`` distinct ids."""
+    if len(df.columns) != 1 or not df.columns[0].upper().startswith("ID_"):
+        raise ValueError("a refresh query has one column, an id")
+    ids = list(dict.fromkeys(r[0] for r in df.limit(most + 1).collect() if r[0] is not None))
+    if not 1 <= len(ids) <= most:
+        raise ValueError(f"a refresh query gives 1 to {most} ids")
+    said = ", ".join(str(i) if isinstance(i, int) else "'" + str(i) + "'" for i in ids)
+    return f"{df.columns[0].upper()} IN ({said})"
+
+
 def rate(part: Column, whole: Column) -> Column:
     return F.round(100.0 * part / F.nullif(whole, F.lit(0)), 1)
 

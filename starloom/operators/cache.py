@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,13 +63,47 @@ def semantic_hits(near: DataFrame, asked_names: str, cached_names: str, most: fl
 
 
 def pruned_tree(categories: DataFrame, leaves: DataFrame, id_col: str = "id", parent: str = "id_parent") -> DataFrame:
-    """Categories that hold a leaf somewhere below: (id, depth); walks down with a recursive query, then keeps ancestors of used ones."""
-    spark = categories.sparkSession
-    categories.select(F.col(id_col).alias("id"), F.col(parent).alias("parent")).createOrReplaceTempView("_categories")
-    leaves.select(F.col(leaves.columns[0]).alias("id")).distinct().createOrReplaceTempView("_used")
-    return spark.sql("""
-        WITH RECURSIVE down(id, top, depth) AS (SELECT id, id, 0 FROM _categories WHERE parent IS NULL
-          UNION ALL SELECT c.id, d.top, d.depth + 1 FROM _categories c JOIN down d ON c.parent = d.id),
-        up(id, parent) AS (SELECT c.id, c.parent FROM _categories c JOIN _used u ON c.id = u.id
-          UNION ALL SELECT c.id, c.parent FROM _categories c JOIN up u ON u.parent = c.id)
+    """Categories that hold a leaf somewhere below: (id, depth); walks down with a recursive query, then keeps ancestors of used ones.
+
+    Spark ends a recursion beyond 100 levels or 1,000,000 rows, unless its
+    settings allow more.
+    """
+    spark, tag = categories.sparkSession, uuid.uuid4().hex
+    categories.select(F.col(id_col).alias("id"), F.col(parent).alias("parent")).createOrReplaceTempView(f"categories_{tag}")
+    leaves.select(F.col(leaves.columns[0]).alias("id")).distinct().createOrReplaceTempView(f"used_{tag}")
+    return spark.sql(f"""
+        WITH RECURSIVE down(id, top, depth) AS (SELECT id, id, 0 FROM categories_{tag} WHERE parent IS NULL
+          UNION ALL SELECT c.id, d.top, d.depth + 1 FROM categories_{tag} c JOIN down d ON c.parent = d.id),
+        up(id, parent) AS (SELECT c.id, c.parent FROM categories_{tag} c JOIN used_{tag} u ON c.id = u.id
+          UNION ALL SELECT c.id, c.parent FROM categories_{tag} c JOIN up u ON u.parent = c.id)
         SELECT DISTINCT d.id, d.depth FROM down d JOIN up USING (id)""")
+
+
+def same_side(cache: DataFrame) -> Column:
+    """Whether a row is an anonymised twin that can be reached by its raw question only: both texts are the same."""
+    return (F.coalesce("IS_ANONYMIZED", F.lit(0)) == 1) & (F.col("QUESTION_ANONYMIZED") == F.col("QUESTION"))
+
+
+def append(cache: DataFrame, entries: DataFrame) -> DataFrame:
+    """The cache with new entries behind it.
+
+    An entry has (QUESTION, QUESTION_ANONYMIZED, ...); each gives a raw row and,
+    unless both texts are equal, an anonymised one under the raw question's hash.
+    """
+    h = question_hash("QUESTION")
+    raw = entries.withColumn("QUESTION_HASHED", h).withColumn("IS_ANONYMIZED", F.lit(0))
+    anon = entries.where(F.coalesce(F.col("QUESTION_ANONYMIZED") != F.col("QUESTION"), F.lit(False))).withColumn("QUESTION_HASHED", h).withColumn("QUESTION", F.col("QUESTION_ANONYMIZED")).withColumn("IS_ANONYMIZED", F.lit(1))
+    return cache.unionByName(raw.unionByName(anon).drop("QUESTION_ANONYMIZED"), allowMissingColumns=True)
+
+
+def retired(cache: DataFrame, pattern: str) -> DataFrame:
+    """Both sides of a twin whose raw SQL holds a literal name are marked deleted; of other twins with equal texts only the anonymised one."""
+    on = ["QUESTION_HASHED", "API_VERSION", "UI_LANGUAGE", "QUESTION"]
+    side, live = F.coalesce("IS_ANONYMIZED", F.lit(0)), F.coalesce("DELETED", F.lit(0)) == 0
+    text = F.coalesce("SQL_QUERY", F.lit(""))
+    per = cache.where(live).groupBy(*on).agg(F.max(F.when(side == 0, F.coalesce(F.col("SQL_QUERY").rlike(pattern), F.lit(False)))).alias("_poison"), F.count_if(side == 1).alias("_anon"))
+    raws = cache.where(live & (side == 0)).select(*on, text.alias("_text")).distinct().withColumn("_raw", F.lit(True))
+    x = cache.join(per, on, "left").withColumn("_text", text).join(raws, [*on, "_text"], "left")
+    poisoned_pair = (F.col("_anon") > 0) & F.col("_poison") & ((side == 1) | F.col("SQL_QUERY").rlike(pattern))
+    gone = live & (poisoned_pair | ((side == 1) & F.col("_raw")))
+    return x.select(*[F.when(F.coalesce(gone, F.lit(False)), 1).otherwise(F.col(c)).alias(c) if c == "DELETED" else c for c in cache.columns])

@@ -6,12 +6,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from starloom.functions.text import version_key
 
 
 def upsert(target: DataFrame, changes: DataFrame, key: Sequence[str], insert_only: Sequence[str] = (), order: Sequence[Column] = ()) -> DataFrame:
-    """``target`` with ``changes``: the last change of a key wins, columns it lacks stay, insert-only columns keep their first value."""
-    if order:
+    """``target`` with ``changes``: the last change of a key by ``order`` wins, columns it lacks stay, insert-only columns keep their first value.
+
+    Without an order a key that is changed twice fails the query.
+    """
+    if not order:
+        one = changes.groupBy(*key).agg(F.count("*").alias("_n"), F.first(F.struct(*changes.columns)).alias("_r"))
+        changes = one.select(F.when(F.col("_n") == 1, F.col("_r")).otherwise(F.raise_error(F.lit("a key is changed twice, and no order says which change is last"))).alias("_r")).select("_r.*")
+    else:
         changes = changes.groupBy(*key).agg(F.max_by(F.struct(*changes.columns), F.struct(*order)).alias("_r")).select("_r.*")
     cols = [*target.columns, *[c for c in changes.columns if c not in target.columns]]
     t = target.select(*[F.col(c).alias(f"t_{c}") for c in target.columns], F.lit(1).alias("_old"))
@@ -103,8 +110,8 @@ def refresh_counters(dim: DataFrame, id_col: str, edges: DataFrame, edge_key: st
 
 
 def compacted(logs: DataFrame, stamp: str) -> DataFrame:
-    """Rows with their month, clustered by it, for a partitioned rewrite."""
-    return logs.withColumn("yyyymm", F.date_format(stamp, "yyyyMM")).repartition("yyyymm")
+    """Rows with their month, clustered by month and day, for a partitioned rewrite: no task holds a whole month."""
+    return logs.withColumn("yyyymm", F.date_format(stamp, "yyyyMM")).repartition(F.col("yyyymm"), F.to_date(stamp))
 
 
 def changed_only(new: DataFrame, old: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -113,6 +120,34 @@ def changed_only(new: DataFrame, old: DataFrame, key: str, columns: Sequence[str
     return new.select("*", h).join(old.select(key, h), [key, "_hash"], "left_anti").drop("_hash")
 
 
-def latest(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+def backup(df: DataFrame, key: str, involved: DataFrame, path: str) -> DataFrame:
+    """Write the rows of the involved ids aside, before they are changed; the rows as read back."""
+    df.join(involved.select(F.col(involved.columns[0]).alias(key)).distinct(), key, "left_semi").write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def set_variable(variables: DataFrame, name: str, value, lang: str = "") -> DataFrame:
+    """(VAR_NAME, LANG, VAR_VALUE) with one value set; a blank language is the general one."""
+    new = variables.sparkSession.createDataFrame([(name, lang, None if value is None else str(value))], "VAR_NAME string, LANG string, VAR_VALUE string")
+    return upsert(variables, new, ["VAR_NAME", "LANG"])
+
+
+def get_variable(variables: DataFrame, name: str, lang: str = "") -> DataFrame:
+    return variables.where((F.col("VAR_NAME") == name) & (F.coalesce("LANG", F.lit("")) == lang)).select("VAR_VALUE")
+
+
+def without_vectors(vectors: DataFrame, prefix: str | None = None, version: str | None = None) -> DataFrame:
+    """Vectors that stay when those of an id prefix, of older versions, or (with neither) all go."""
+    gone = F.lit(True)
+    if prefix is not None:
+        gone = gone & F.startswith(F.col("id"), F.lit(prefix))
+    if version is not None:
+        gone = gone & (version_key("version") < version_key(F.lit(version)))
+    return vectors.where(~F.coalesce(gone, F.lit(False)))
+
+
+def update_join(target: DataFrame, source: DataFrame, key: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """``target`` with columns set where ``source`` has a row of its key; a key's other rows don't fan out."""
+    hit = source.select(*key).distinct().withColumn("_hit", F.lit(True))
+    j = target.join(hit, list(key), "left")
+    return j.select(*[F.when(F.col("_hit"), values[c]).otherwise(F.col(c)).alias(c) if c in values else c for c in target.columns])

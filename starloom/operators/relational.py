@@ -80,17 +80,28 @@ def share_of_total(df: DataFrame, key: Sequence[str], value: Column, digits: int
     return g.withColumn("share", F.round(F.col("total") / F.sum("total").over(Window.partitionBy()), digits))
 
 
-def nearest_rank(df: DataFrame, value: str, p: float, key: Sequence[str] = ()) -> DataFrame:
+def nearest_rank(df: DataFrame, value: str, p: float, key: Sequence[str] = (), bins: int = 4096) -> DataFrame:
     """The element at position min(n - 1, round-half-even(p (n - 1))) of the sorted non-null values.
 
-    Positions come from a window; the key's rows are sorted by Spark and may spill.
+    Equal bins between a key's least and greatest value are counted map-side; one
+    bin holds the position, and only its distinct values are sorted. So no task
+    sorts a key's rows.
     """
-    x = df.where(F.col(value).isNotNull())
-    n = x.groupBy(*key).agg(F.count("*").alias("_n"))
-    at = F.bround((F.lit(p) * (F.col("_n") - 1)), 0).cast("long")
-    x = x.withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy(value)) - 1)
-    x = x.join(n, list(key)) if key else x.crossJoin(F.broadcast(n))  # one row
-    return x.where(F.col("_i") == F.least(F.col("_n") - 1, at)).select(*key, F.col(value).alias("value"))
+    x = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*key, F.col(value).alias("value"))
+    x = x.withColumn("_all", F.lit(1))
+    on = [*key, "_all"]
+    ends = x.groupBy(*on).agg(F.count("*").alias("_n"), F.min("value").cast("double").alias("_lo"), F.max("value").cast("double").alias("_hi"))
+    ends = ends.withColumn("_at", F.least(F.col("_n") - 1, F.bround(F.lit(p) * (F.col("_n") - 1), 0).cast("long")))
+    width = F.col("_hi") / bins - F.col("_lo") / bins  # no overflow between opposite ends
+    bin_ = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("value").cast("double") - F.col("_lo")) / width))).otherwise(F.lit(0))
+    placed = x.join(ends, on).withColumn("_bin", bin_.cast("int"))
+    counts = placed.groupBy(*on, "_bin").agg(F.count("*").alias("_c"), F.first("_at").alias("_at"))
+    w = Window.partitionBy(*on).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    hit = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0))).where((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_c")))
+    inside = placed.join(hit.select(*on, "_bin", "_before"), [*on, "_bin"]).groupBy(*on, "value").agg(F.count("*").alias("_c"), F.first("_at").alias("_at"), F.first("_before").alias("_before"))
+    w = Window.partitionBy(*on).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("_i", F.col("_before") + F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    return inside.where((F.col("_i") <= F.col("_at")) & (F.col("_at") < F.col("_i") + F.col("_c"))).select(*key, "value")
 
 
 def neighbours(df: DataFrame, order: Sequence[Column], id_col: str, partition: Sequence[str] = ()) -> DataFrame:
@@ -105,6 +116,25 @@ def aligned_union(*frames: tuple[str, DataFrame, dict[str, str]], kind: str = "C
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
+def concatenated(*frames: DataFrame, rank: str = "SOURCE_RANK") -> DataFrame:
+    """Rows of typed lists one behind the other: ``rank`` says which list a row is from, missing columns are null."""
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [df.withColumn(rank, F.lit(i)) for i, df in enumerate(frames)])
+
+
+def matching_type(df: DataFrame, column: str, value, labels: dict | None = None) -> Column:
+    """``column = value`` if the value's type fits the column's; a label is first mapped to its code. Otherwise a TypeError, not a silent cast."""
+    if labels is not None:
+        if value not in labels:
+            raise TypeError(f"{value!r} is no label of {column}")
+        value = labels[value]
+    kind = df.schema[column].dataType.typeName()
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    numeric = kind in ("byte", "short", "integer", "long", "float", "double") or kind.startswith("decimal")
+    if value is not None and (numeric != number or kind == "boolean" and not isinstance(value, bool)):
+        raise TypeError(f"{column} is {kind}, not {type(value).__name__}")
+    return F.col(column) == F.lit(value)
+
+
 def first_table_wins(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Rows of ``a``, and rows of ``b`` whose key ``a`` lacks."""
     return a.unionByName(b.join(a.select(key), key, "left_anti"), allowMissingColumns=True)

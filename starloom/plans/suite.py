@@ -6,8 +6,6 @@ companies and names, documents for localised texts, events for logs and images.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,32 +13,18 @@ from starloom.catalog import orders_catalog
 from starloom.functions import matching, text
 from starloom.operators import assertions, cache, etl, questions, relational as rel, resolve as res, views
 from starloom.plans import dialect, engine
-from starloom.session import Tables
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f: Callable[[Tables], DataFrame]):
-        _QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return add
-
+from starloom.plans.registry import QUERIES, SQL, query
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _QUERIES["page_with_total"](spark, sf_dir)
+    return QUERIES["page_with_total"](spark, sf_dir)
 
 
 # --- scans, projections, predicates
@@ -149,11 +133,6 @@ def _(t):
     return t.customer.select("c_custkey").join(t.orders.where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
 
 
-@query("anti_join_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def _(t):
-    return t.customer.select("c_custkey").join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
-
-
 @query("in_union_subquery", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50 UNION SELECT l_suppkey FROM lineitem)")
 def _(t):
     ids = t.lineitem.where("l_quantity >= 50").select(F.col("l_partkey").alias("p_partkey")).union(t.lineitem.select("l_suppkey"))
@@ -187,12 +166,7 @@ def _near_names(t, asked):
     return hits.groupBy("mention").agg(F.count("*").alias("n"))
 
 
-@query("levenshtein_block_join", "WITH q AS (SELECT DISTINCT lower(replace(c_name, '#', '')) AS k FROM customer WHERE c_custkey <= 40), n AS (SELECT lower(replace(s_name, '#', '')) AS k, s_suppkey FROM supplier) SELECT q.k AS mention, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'supplier' || right(k, 9) AS k FROM q) q JOIN n ON levenshtein(q.k, n.k) <= 3 GROUP BY q.k")
-def _(t):
-    return _near_names(t, t.customer.where("c_custkey <= 40"))
-
-
-@query("levenshtein_block_join_whole", "WITH q AS (SELECT DISTINCT lower(replace(c_name, '#', '')) AS k FROM customer), n AS (SELECT lower(replace(s_name, '#', '')) AS k, s_suppkey FROM supplier) SELECT q.k AS mention, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'supplier' || right(k, 9) AS k FROM q) q JOIN n ON levenshtein(q.k, n.k) <= 3 GROUP BY q.k")
+@query("levenshtein_block_join", "WITH q AS (SELECT DISTINCT lower(replace(c_name, '#', '')) AS k FROM customer), n AS (SELECT lower(replace(s_name, '#', '')) AS k, s_suppkey FROM supplier) SELECT q.k AS mention, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'supplier' || right(k, 9) AS k FROM q) q JOIN n ON levenshtein(q.k, n.k) <= 3 GROUP BY q.k")
 def _(t):
     return _near_names(t, t.customer)
 
@@ -323,12 +297,7 @@ def _(t):
     return t.part.select("p_partkey", "p_size").orderBy(F.when(F.col("p_size") % 10 == 0, 1).otherwise(0), "p_size", "p_partkey").limit(100)
 
 
-@query("distinct_hidden_sort", "SELECT p_brand, p_type FROM part GROUP BY p_brand, p_type ORDER BY max(p_retailprice) DESC, p_brand, p_type LIMIT 40")
-def _(t):
-    return rel.distinct_sorted(t.part, ["p_brand", "p_type"], [("p_retailprice", True)]).limit(40)
-
-
-@query("distinct_hidden_sort_whole", "SELECT p_brand, p_type FROM part GROUP BY p_brand, p_type ORDER BY max(p_retailprice) DESC, p_brand, p_type")
+@query("distinct_hidden_sort", "SELECT p_brand, p_type FROM part GROUP BY p_brand, p_type ORDER BY max(p_retailprice) DESC, p_brand, p_type")
 def _(t):
     return rel.distinct_sorted(t.part, ["p_brand", "p_type"], [("p_retailprice", True)])
 
@@ -363,13 +332,7 @@ def _(t):
     return rel.first_table_wins(t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), "id")
 
 
-@query("recursive_tree", "WITH c AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 3 END AS id_parent FROM part WHERE p_partkey <= 60), d AS (SELECT c1.id, c1.id_parent FROM c c1) SELECT DISTINCT a.id, CAST(a.depth AS INT) AS depth FROM (WITH RECURSIVE down(id, depth) AS (SELECT id, 0 FROM c WHERE id_parent IS NULL UNION ALL SELECT c.id, depth + 1 FROM c JOIN down ON c.id_parent = down.id) SELECT * FROM down) a JOIN (WITH RECURSIVE up(id, p) AS (SELECT id, id_parent FROM c WHERE id IN (40, 51) UNION ALL SELECT c.id, c.id_parent FROM c JOIN up ON up.p = c.id) SELECT * FROM up) b ON a.id = b.id")
-def _(t):
-    c = t.part.where("p_partkey <= 60").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 3)).alias("id_parent"))
-    return cache.pruned_tree(c, c.where("id IN (40, 51)").select("id"))
-
-
-@query("recursive_tree_whole", "WITH c AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 3 END AS id_parent, p_size FROM part), d AS (SELECT c1.id, c1.id_parent FROM c c1) SELECT DISTINCT a.id, CAST(a.depth AS INT) AS depth FROM (WITH RECURSIVE down(id, depth) AS (SELECT id, 0 FROM c WHERE id_parent IS NULL UNION ALL SELECT c.id, depth + 1 FROM c JOIN down ON c.id_parent = down.id) SELECT * FROM down) a JOIN (WITH RECURSIVE up(id, p) AS (SELECT id, id_parent FROM c WHERE p_size % 10 = 7 UNION ALL SELECT c.id, c.id_parent FROM c JOIN up ON up.p = c.id) SELECT * FROM up) b ON a.id = b.id")
+@query("recursive_tree", "WITH c AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 3 END AS id_parent, p_size FROM part), d AS (SELECT c1.id, c1.id_parent FROM c c1) SELECT DISTINCT a.id, CAST(a.depth AS INT) AS depth FROM (WITH RECURSIVE down(id, depth) AS (SELECT id, 0 FROM c WHERE id_parent IS NULL UNION ALL SELECT c.id, depth + 1 FROM c JOIN down ON c.id_parent = down.id) SELECT * FROM down) a JOIN (WITH RECURSIVE up(id, p) AS (SELECT id, id_parent FROM c WHERE p_size % 10 = 7 UNION ALL SELECT c.id, c.id_parent FROM c JOIN up ON up.p = c.id) SELECT * FROM up) b ON a.id = b.id")
 def _(t):
     c = t.part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 3)).alias("id_parent"), "p_size")
     return cache.pruned_tree(c, c.where("p_size % 10 = 7").select("id"))
@@ -384,11 +347,6 @@ def _(t):
     return t.part.select("p_partkey", text.normalize_name(x).alias("norm"), text.to_key(x).alias("k"))
 
 
-@query("accent_fold", "SELECT doc_id, lower(strip_accents(regexp_extract(text, '^[A-Za-zÀ-ÿ]+'))) AS head FROM documents WHERE lang <> 'de'")
-def _(t):
-    return t.documents.where("lang <> 'de'").select("doc_id", text.fold(F.regexp_extract("text", "^[A-Za-zÀ-ÿ]+", 0)).alias("head"))
-
-
 @query("string_functions", "SELECT s_suppkey, upper(left(s_name, 3)) AS a, length(s_name) AS b, regexp_replace(s_name, '[0-9]+', 'N', 'g') AS c, sha256(s_name) AS h, md5(s_name) AS m FROM supplier")
 def _(t):
     return t.supplier.select("s_suppkey", F.upper(F.expr("left(s_name, 3)")).alias("a"), F.char_length("s_name").cast("long").alias("b"), F.regexp_replace("s_name", "[0-9]+", "N").alias("c"), F.sha2("s_name", 256).alias("h"), F.md5("s_name").alias("m"))
@@ -433,12 +391,7 @@ def _nearest(t, asked):
     return res.knn(q, t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), d, 10, F.col("id") != F.col("query_id")).select("query_id", "id")
 
 
-@query("knn_topk", "SELECT q.vec_id AS query_id, v.vec_id AS id FROM embeddings q, embeddings v WHERE q.vec_id < 5 AND v.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9), v.vec_id) <= 10")
-def _(t):
-    return _nearest(t, "vec_id < 5")
-
-
-@query("knn_topk_whole", "SELECT q.vec_id AS query_id, v.vec_id AS id FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9), v.vec_id) <= 10")
+@query("knn_topk", "SELECT q.vec_id AS query_id, v.vec_id AS id FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9), v.vec_id) <= 10")
 def _(t):
     return _nearest(t, "vec_id % 50 = 0")
 
@@ -454,22 +407,11 @@ def _(t):
     return rows.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("language_fallback", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN lang = 'fr' AND n_chars > 100 THEN 0 WHEN lang = 'en' AND n_chars > 100 THEN 1 WHEN n_chars > 100 THEN 2 ELSE 3 END, lang, doc_id) AS rn FROM documents) WHERE rn = 1")
-def _(t):
-    rank = F.when((F.col("lang") == "fr") & (F.col("n_chars") > 100), 0).when((F.col("lang") == "en") & (F.col("n_chars") > 100), 1).when(F.col("n_chars") > 100, 2).otherwise(3)
-    return rel.first_by(t.documents.select("source", "doc_id", "lang", "n_chars"), ["source"], [rank, F.col("lang"), F.col("doc_id")]).select("source", "doc_id")
-
-
-@query("main_image", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM events WHERE event_type = 'view') WHERE rn <= 6")
+@query("capped_images", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM events WHERE event_type = 'view') WHERE rn <= 6")
 def _(t):
     return rel.top_n(t.events.where("event_type = 'view'").select("user_id", "event_id", "value"), ["user_id"], [F.desc("value"), F.asc("event_id")], 6).select("user_id", "event_id")
 
 
-@query("nested_collection", "SELECT l_suppkey AS s_suppkey, CAST(least(12, count(DISTINCT l_orderkey)) AS INT) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_suppkey")
-def _(t):
-    return views.Engine(orders_catalog(), lambda n: getattr(t, n)).nested("supplier", "order_supplier_returned").select("s_suppkey", F.size("ids").alias("n"))
-
-
 # --- cache, evaluation, ETL
 
 
@@ -483,12 +425,7 @@ def _(t):
     return cache.lookup(c, c, "1.1.9").select("QUESTION", "UI_LANGUAGE", "ID_ROW")
 
 
-@query("cache_twins", "SELECT CAST(count(*) AS BIGINT) AS pairs, CAST(sum(CAST(a.props = b.props AS INT)) AS BIGINT) AS same_sql FROM events a JOIN events b ON a.event_type = b.event_type AND a.user_id % 2 = b.user_id % 2 AND a.event_id % 3 <> 0 AND b.event_id % 3 = 0 WHERE a.event_id < 500 AND b.event_id < 500")
-def _(t):
-    return rel.flags_summed(cache.twins(_cache(t).where("ID_ROW < 500")), {"pairs": F.lit(True), "same_sql": F.col("same_sql") == 1})
-
-
-@query("cache_twins_whole", "SELECT CAST(count(*) AS BIGINT) AS pairs, CAST(sum(CAST(a.props = b.props AS INT)) AS BIGINT) AS same_sql FROM events a JOIN events b ON a.event_type = b.event_type AND a.user_id % 2 = b.user_id % 2 AND a.event_id % 3 <> 0 AND b.event_id % 3 = 0")
+@query("cache_twins", "SELECT CAST(count(*) AS BIGINT) AS pairs, CAST(sum(CAST(a.props = b.props AS INT)) AS BIGINT) AS same_sql FROM events a JOIN events b ON a.event_type = b.event_type AND a.user_id % 2 = b.user_id % 2 AND a.event_id % 3 <> 0 AND b.event_id % 3 = 0")
 def _(t):
     return cache.twin_counts(_cache(t))
 
@@ -563,3 +500,6 @@ def _(t):
     from starloom.streaming import windowed_counts
 
     return windowed_counts(t.events, "ts", "event_type")
+
+
+from starloom.plans import suite_catalogue as suite_catalogue  # noqa: E402  registers its queries behind these

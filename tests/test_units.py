@@ -65,9 +65,11 @@ def test_cells_and_bridge(spark):
 def test_questions():
     assert questions.bare_id("tt0133093?") == ("title", "tt0133093") and questions.bare_id("q42") == ("item", "Q42") and questions.bare_id("who is it") is None
     spans = questions.align_spans("Tommy (1975) musicals", "{{Movie_title1}} ({{Release_year1}}) musicals", {"Movie_title1": "Tommy", "Release_year1": "1975"})
-    closed = questions.align_spans("Tommy (1975) musicals", "Tommy (1975) {{Genre1}}", {"Genre1": "musicals"})
-    assert questions.merge_passes("Tommy (1975) musicals", spans, closed) == ("{{Movie_title1}} ({{Release_year1}}) {{Genre1}}", {"Movie_title1": "Tommy", "Release_year1": "1975", "Genre1": "musicals"})
-    assert questions.substitute("a = '{{N1}}' AND b = {{Y1}} {{Z1}}", {"N1": "O'Neil", "Y1": 7}) == "a = 'O''Neil' AND b = 7 {{Z1}}"
+    closed = questions.align_spans("Tommy (1975) musicals", "Tommy (1975) {{Movie_genre1}}", {"Movie_genre1": "musicals"})
+    assert questions.merge_passes("Tommy (1975) musicals", spans, closed) == ("{{Movie_title1}} ({{Release_year1}}) {{Movie_genre1}}", {"Movie_title1": "Tommy", "Release_year1": "1975", "Movie_genre1": "musicals"})
+    unknown = questions.align_spans("Tommy (1975) musicals", "Tommy (1975) {{Genre1}}", {"Genre1": "musicals"})
+    assert questions.merge_passes("Tommy (1975) musicals", spans, unknown)[0] == "{{Movie_title1}} ({{Release_year1}}) musicals"
+
     assert questions.pure_equality("SELECT * FROM m WHERE MOVIE_TITLE = 'Ocean''s Eleven'", "MOVIE_TITLE") == "Ocean's Eleven"
     assert questions.pure_equality("SELECT * FROM m WHERE MOVIE_TITLE = 'x' AND a = 1", "MOVIE_TITLE") is None
     c = questions.RuleCompiler()
@@ -96,3 +98,53 @@ def test_pages():
     assert Page.clamp(0, 900) == Page(1, 200) and Page.clamp(None, None) == Page(1, 50)
     assert merged_limit(Page(3, 10), 30, 5) == (10, 25) and merged_limit(Page(4, 10), 35, 0) == (5, 30)
     assert merged_limit(Page(5, 10), 35, 0) == (0, 40) and merged_limit(Page(5, 10), 35, 0, compat=True) == (10, 40)
+
+
+def test_values_are_bound(spark):
+    """Quotes, backslashes, dollars and comment marks in values mean nothing; literals keep what stands beside a placeholder."""
+    from starloom.plans import engine
+
+    spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string").createOrReplaceTempView("bound_rows")
+    run = lambda sql, **v: [tuple(r) for r in engine.run(spark, sql, v).collect()]
+    for v in ("x\\' OR 1=1 -- ", "a\\", "' OR '1'='1", "x'; DROP TABLE bound_rows; --", "$a ${b} \\1", "/* a */ -- a", '"', "{{B1}}"):
+        assert run("SELECT id FROM bound_rows WHERE name = '{{A1}}'", A1=v) == []
+        assert run("SELECT '{{A1}}' AS x", A1=v) == [(v,)]
+        assert run("SELECT 'l\\'eau: {{A1}}!' AS x", A1=v) == [(f"l'eau: {v}!",)]
+    assert run("SELECT id FROM bound_rows WHERE id = {{N1}} AND name = {{A1}}", N1="2", A1="b") == [(2,)]
+    assert run("SELECT '{{A1}}' AS x", A1=7) == [("7",)]
+    with pytest.raises(engine.Ambiguous):
+        engine.run(spark, "SELECT '{{IMDb_ID1}}' AS x", {"IMDb_ID1": "nm1"})
+
+
+def test_repeated_changes_need_an_order(spark):
+    t = spark.createDataFrame([(1, "a")], "k int, v string")
+    twice = spark.createDataFrame([(1, "b"), (1, "c")], "k int, v string")
+    with pytest.raises(Exception, match="changed twice"):
+        etl.upsert(t, twice, ["k"]).collect()
+    assert [tuple(r) for r in etl.upsert(t, twice, ["k"], order=[F.col("v")]).collect()] == [(1, "c")]
+
+
+def test_bank_over_jdbc(spark, tmp_path):
+    """The database applies the predicate; Derby comes with Spark."""
+    from starloom.sources import files
+
+    url = f"jdbc:derby:{tmp_path}/bank;create=true"
+    rows = [(1, 1, None, "COUNT(*) > 0"), (2, 0, None, "x > 1"), (3, 1, 1, "x > 1"), (4, 1, 0, " "), (5, 1, 0, "x > 1"), (6, None, 0, "x > 1")]
+    spark.createDataFrame(rows, "ID int, IS_EVAL int, DELETED int, ASSERTIONS string").write.format("jdbc").option("url", url).option("dbtable", "BANK").option("driver", "org.apache.derby.jdbc.EmbeddedDriver").option("createTableColumnTypes", "ASSERTIONS varchar(100)").save()
+    got = files.read_bank_jdbc(spark, url, "BANK", key="ID", parts=2, low=1, high=6)
+    assert sorted(r.ID for r in got.collect()) == [1, 5]
+
+
+@pytest.mark.parametrize("p", [0.0, 0.25, 0.5, 0.9, 1.0])
+def test_nearest_rank_in_bins(spark, p):
+    import random
+
+    r = random.Random(5)
+    rows = [("a", r.choice([0.0, 1e9, -3.5, r.random()])) for _ in range(500)] + [("b", 7.0)] * 20 + [("c", None), ("d", 1e308), ("d", -1e308), (None, 3.0)]
+    from starloom.operators.relational import nearest_rank
+
+    got = {x.k: x.value for x in nearest_rank(spark.createDataFrame(rows, "k string, v double"), "v", p, ["k"]).collect()}
+    for k in ("a", "b", "d"):
+        v = sorted(y for x, y in rows if x == k)
+        assert got[k] == v[min(len(v) - 1, round(p * (len(v) - 1)))]
+    assert "c" not in got
