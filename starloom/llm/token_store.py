@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from starloom.llm.common import discard, materialise, salted_join, scratch, ship, slices
+from starloom.llm.common import discard, hot_keys, materialise, salted_join, scratch, ship, slices
 
 WINDOW = 16
 #: Chunks hold 64 to 1024 ids, about 64 + 256 on average.
@@ -358,7 +358,8 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
     """
     ship(spark)
     chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(_checked, _CHECKED)
-    parts = salted_join(spark.read.parquet(f"{path}/recipes"), chunks, ["hash"])
+    recipes = spark.read.parquet(f"{path}/recipes")
+    parts = salted_join(recipes, chunks, ["hash"], hot=hot_keys(recipes, ["hash"]))
     per = parts.groupBy("row_id").agg(F.collect_list(F.struct("seq", "hash", "n_ids", "crc", "ok")).alias("parts"))
     m = spark.read.parquet(f"{path}/manifest").join(per, "row_id", "left")
     return m.mapInArrow(_folded, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks int, verified boolean")
@@ -370,7 +371,7 @@ def read_documents(spark: SparkSession, path: str, where: str | None = None) ->
     m = spark.read.parquet(f"{path}/manifest")
     m = m.where(where) if where else m
     r = spark.read.parquet(f"{path}/recipes").join(m.select("row_id"), "row_id", "left_semi")
-    p = salted_join(r, spark.read.parquet(f"{path}/chunks").select("hash", "width", "data"), ["hash"])
+    p = salted_join(r, spark.read.parquet(f"{path}/chunks").select("hash", "width", "data"), ["hash"], hot=hot_keys(r, ["hash"]))
     per = p.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("seq", "width", "data"))).alias("parts"))
 
     def ids(batches):
