@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starloom.llm.common import hot_counted, materialise, salted_join
+
 #: Stripped at both ends of a line: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,17 +22,19 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, mi
 
     Hashes are counted before they are sent (min and max of the document ids,
     a distinct count for other thresholds), so a line that every document
-    holds costs one row for each task.
+    holds costs one row for each task; when its rows look up the first document
+    they are salted.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     keyed = lines.select("doc", "th", "pos", key(F.col("line")).alias("k")).where(F.char_length("k") >= min_chars)
     hashed = keyed.select("doc", "th", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(7), "k", F.char_length("k")).alias("h2"))
     if min_docs == 2:
-        hot = hashed.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").drop("last")
+        hot = hashed.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).where("first <> last").drop("last")
     else:
-        hot = hashed.select("h1", "h2", "doc").distinct().groupBy("h1", "h2").agg(F.count("doc").alias("n"), F.min("doc").alias("first")).where(F.col("n") >= min_docs).drop("n")
-    return hashed.join(hot, ["h1", "h2"]).where("doc <> first").groupBy("doc", "th").agg(F.collect_set("pos").alias("gone"))
+        hot = hashed.select("h1", "h2", "doc").distinct().groupBy("h1", "h2").agg(F.count("doc").alias("n"), F.min("doc").alias("first")).where(F.col("n") >= min_docs)
+    hot = materialise(hot, "repeated-lines")
+    return salted_join(hashed, hot.drop("n"), ["h1", "h2"], columns=["doc", "pos"], hot=hot_counted(hot, ["h1", "h2"], "n")).where("doc <> first").groupBy("doc", "th").agg(F.collect_set("pos").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_chars: int = 10) -> DataFrame:
