@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.common import materialise
+from starloom.llm.common import hot_counted, hot_keys, materialise, salted_join
 
 ORDER = 4
 #: Rules (host/path, verdict); production values of the query.
@@ -86,16 +86,19 @@ def judge_urls(pages: DataFrame, rules: dict[str, str] | None = None, id_col: st
     for rule, verdict in rules.items():
         good = F.when(F.col("rule") == rule, 1 if verdict == "allow" else 0).otherwise(good)
     p = p.withColumn("good", good)
-    sites = materialise(p.groupBy("host", "path").agg(F.first("good").alias("good"), F.count("*").alias("pages")), "sites")
+    sites = p.groupBy("host", "path").agg(F.first("good").alias("good"), F.count("*").alias("pages"))
+    sites = materialise(sites.withColumn("site", F.monotonically_increasing_id()), "sites")
     unseen = F.crc32(F.concat("host", "path")) % 5 == 0
     n, c = char_models(sites.where(F.col("good").isNotNull() & ~unseen))
     judged = sites.where(F.col("good").isNull() | unseen)
-    mine = materialise(grams(judged, "host", "path", "good"), "site-grams")
-    scores = mine.join(gram_scores(mine, n, c), "g").groupBy("host", "path").agg(F.avg("s").alias("score"), F.first("good").alias("good"))
-    scores = materialise(scores, "scores")
+    mine = materialise(grams(judged, "site"), "site-grams")
+    scored = salted_join(mine, gram_scores(mine, n, c), ["g"], columns=["site"], hot=hot_keys(mine, ["g"]))
+    scores = scored.groupBy("site").agg(F.avg("s").alias("score"))
+    scores = materialise(sites.select("site", "host", "path", "good", "pages").join(scores, "site"), "scores")
     means = {r["good"]: r["m"] for r in scores.where("good IS NOT NULL").groupBy("good").agg(F.avg("score").alias("m")).collect()}  # two rows
     threshold = (means[0] + means[1]) / 2 if len(means) == 2 else float("-inf")
-    out = p.join(scores.where("good IS NULL").select("host", "path", "score"), ["host", "path"], "left")
+    # urls without a host are one site
+    out = salted_join(p, scores.where("good IS NULL").select("host", "path", "score"), ["host", "path"], "left", columns=["page_id"], hot=hot_counted(sites, ["host", "path"], "pages"))
     verdict = F.when(F.col("good") == 1, "allow").when(F.col("good") == 0, "block").when(F.col("score") >= threshold, "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
