@@ -1,7 +1,8 @@
 """Language ID with bit-sliced Bloom filters over character n-grams.
 
-One table of ``2**SLOTS_LOG`` machine words holds the Bloom filters of all
-languages: bit l of a slot belongs to language l. An n-gram's slots, ANDed,
+One table of ``2**SLOTS_LOG`` slots holds the Bloom filters of all languages:
+bit l of a slot belongs to language l; a slot has as many machine words as the
+languages need. An n-gram's slots, ANDed,
 give the set of all languages whose filter holds it. For a document the bits
 are counted by language; of n n-grams a filter with false-positive rate f
 accepts n*f by chance, so (hits - n*f) / (1 - f) are counted as true. The
@@ -26,15 +27,15 @@ SLOTS_LOG, HASHES = 20, 2
 SAMPLE = 4000
 #: An n-gram enters a filter if it is as frequent there as this share of its greatest frequency, and occurs so often.
 SHARE, LEAST = 0.2, 3
-#: Languages that one table can hold.
-MOST_LANGUAGES = 64
+#: Languages of one machine word.
+WORD = 64
 
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """Code point to lower-cased letter, 0 for all else; code points above the table are letters of their own."""
-    out = np.zeros(0x20000, np.uint32)
-    for i in range(0x20000):
+    """Code point of any plane to lower-cased letter, 0 for all else (marks, digits, tags, private use, surrogates)."""
+    out = np.zeros(0x110000, np.uint32)
+    for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
             low = c.lower()
@@ -47,8 +48,7 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code = np.frombuffer("".join(f"\n{t}\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
-    table = _letters()
-    low = np.where(code < len(table), table[np.minimum(code, len(table) - 1)], code)
+    low = _letters()[code]
     letter = low > 0
     has = np.bincount(owner[letter], minlength=len(texts)) > 0
     keep = letter.copy()
@@ -94,8 +94,13 @@ def _with_offsets(whole):
 class Model:
     def __init__(self, languages: list[str], table: np.ndarray, fallback: str | None):
         self.languages, self.table, self.fallback = languages, table, fallback
-        bits = [((table >> table.dtype.type(i)) & table.dtype.type(1)).mean() for i in range(len(languages))]
-        self.chance = np.array(bits) ** HASHES
+        self.chance = np.array([self._bit(table, i).mean() for i in range(len(languages))]) ** HASHES
+
+    @staticmethod
+    def _bit(words: np.ndarray, i: int) -> np.ndarray:
+        """Language i's bit of each row of words."""
+        w = words[:, i // WORD]
+        return (w >> w.dtype.type(i % WORD)) & w.dtype.type(1)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         h, owner, has = ngrams(texts)
@@ -105,7 +110,7 @@ class Model:
         total = np.bincount(owner, minlength=len(texts)).astype(float)
         true = np.zeros((len(self.languages), len(texts)))
         for i, f in enumerate(self.chance):
-            hits = np.bincount(owner, weights=(m >> m.dtype.type(i)) & m.dtype.type(1), minlength=len(texts)) if len(h) else total
+            hits = np.bincount(owner, weights=self._bit(m, i), minlength=len(texts)) if len(h) else total
             true[i] = np.clip((hits - total * f) / max(1e-9, 1 - f), 0, None)
         if not len(self.languages):
             return ["und"] * len(texts), [0.0] * len(texts)
@@ -118,17 +123,17 @@ class Model:
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Learn from the rows given: text and language only; the id only chooses the sample.
 
-    Rows with null text, language or id are left out. The driver receives one
-    count for each language and at most one word for each slot of the table.
+    Rows with null text, language or id are left out; repeated rows count as
+    often as they stand, other columns are not read, an empty table gives a model
+    that knows no language. The driver receives one count for each language (a
+    label set) and at most one row for each word of the table.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     kind = np.uint8 if len(languages) <= 8 else np.uint64
-    table = np.zeros(1 << SLOTS_LOG, kind)
+    table = np.zeros((1 << SLOTS_LOG, max(1, -(-len(languages) // WORD))), kind)
     if not languages:
         return Model([], table, None)
     share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, sample / v))])
@@ -141,16 +146,22 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
         return Model(languages, table, max(languages, key=lambda x: sizes[x]))
     rate = counts.withColumn("rate", F.col("n") / per[F.col("lang")])
     top = rate.groupBy("h").agg(F.max("rate").alias("top"))
-    bit = F.create_map(*[F.lit(x) for i, k in enumerate(languages) for x in (k, (1 << i) - (1 << 64 if i == 63 else 0))])
-    inside = rate.join(top, "h").where((F.col("rate") >= SHARE * F.col("top")) & (F.col("n") >= LEAST)).select("h", bit[F.col("lang")].cast("long").alias("bit"))
+    place = F.create_map(*[F.lit(x) for i, k in enumerate(languages) for x in (k, i)])[F.col("lang")]
+    inside = rate.join(top, "h").where((F.col("rate") >= SHARE * F.col("top")) & (F.col("n") >= LEAST)).withColumn("i", place)
+    inside = inside.select("h", F.floor(F.col("i") / WORD).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i") % WORD).alias("bit"))
     at = F.explode(F.array(*[F.shiftrightunsigned("h", 3 + 21 * k).bitwiseAND((1 << SLOTS_LOG) - 1) for k in range(HASHES)]))
-    words = inside.select(at.alias("slot"), "bit").groupBy("slot").agg(F.bit_or("bit").alias("word")).toPandas()
-    table[words["slot"].to_numpy()] = words["word"].to_numpy().astype(np.int64).view(np.uint64).astype(kind)
+    words = inside.select(at.alias("slot"), "w", "bit").groupBy("slot", "w").agg(F.bit_or("bit").alias("word")).toPandas()
+    table[words["slot"].to_numpy(), words["w"].to_numpy()] = words["word"].to_numpy().astype(np.int64).view(np.uint64).astype(kind)
     return Model(languages, table, max(languages, key=lambda x: (sizes[x], x)))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list | None = None) -> DataFrame:
-    """(doc_id, lang_pred, score, *keep) for every row: whole texts, null or letterless ones are ``und`` with score 0."""
+    """(doc_id, lang_pred, score, *keep) for every row: whole texts, null or letterless ones are ``und`` with score 0.
+
+    Texts with letters but no n-gram of any language get the language with most
+    documents, score 0; equal counts go to the first language by name. Repeated
+    rows and null ids stay; of other columns only ``keep`` is read.
+    """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # at most 2**SLOTS_LOG words
