@@ -3,10 +3,13 @@
 Unit vectors are turned to their principal axes, fitted on a bounded sample
 (a rotation, so it changes no cosine). Two vectors with a cosine of at least c
 are at most sqrt(2 - 2c) apart, in every axis too: a label's vectors are laid on
-a grid of that width over the two leading axes, only neighbouring cells are
-compared, cell by cell in tiles of at most ``TILE`` vectors. In a pair of tiles
-products are summed over leading dimensions first; what remains is bounded by
-the product of the suffix norms, and a pair stops when it can't reach c.
+a grid of that width over the three leading axes, and a cell of over ``TILE``
+vectors is cut again along the next axis, up to ``AXES`` of them. Cells and their
+tiles of at most ``TILE`` vectors are paired only if they are neighbours on the
+grid and the boxes around their vectors, over all these axes, are near enough;
+that is decided before any vector is copied. In a pair of tiles products are
+summed over leading dimensions first; what remains is bounded by the product of
+the suffix norms, and a pair stops when it can't reach c.
 
 Equal vectors of a label are one class with a multiplicity. A pair of tiles gives
 back numbers of links and a spanning forest, never all pairs.
@@ -15,6 +18,7 @@ back numbers of links and a spanning forest, never all pairs.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.common import components, materialise, ship
+from starloom.llm.common import components, hot_counted, materialise, salted_join, ship
 from starloom.llm.pivot_index import usable
 
 TILE = 1024
@@ -30,6 +34,8 @@ TILE = 1024
 SAMPLE = 4096
 #: Ends of the groups of dimensions that are summed in turn.
 STEPS = (16, 32)
+#: Axes that cells may be cut along and boxes are held over, and those of the grid that every cell is on.
+AXES, GRID = 8, 3
 
 
 def _keyed(batches):
@@ -125,26 +131,42 @@ def near_vectors(table: DataFrame, least: float = 0.98, id_col: str = "vec_id",
     def cells(batches):
         for pdf in batches:
             if len(pdf):
-                y = _unit(pdf["v"].tolist(), dim) @ axes[:, :2]
-                g = np.floor(y / width).astype(np.int64)
-                yield pdf.assign(x=g[:, 0], y=g[:, 1] if g.shape[1] > 1 else 0)
-
-    placed = materialise(classes.select("label", "rep", "mult", "v").mapInPandas(cells, f"label {label}, rep long, mult long, v binary, x long, y long"), "cells")
-    sizes = materialise(placed.groupBy("label", "x", "y").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "cell-sizes")
-    # pairs of neighbouring cells, each once, then of their tiles
-    steps = F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("dx"), F.lit(b).cast("long").alias("dy")) for a, b in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])).alias("st")
-    one = sizes.select("label", "x", "y", F.col("tiles").alias("ta"), steps).withColumn("x2", F.col("x") + F.col("st.dx")).withColumn("y2", F.col("y") + F.col("st.dy"))
-    two = sizes.select("label", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("tiles").alias("tb"))
-    tasks = one.join(two, ["label", "x2", "y2"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ta") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tb") - 1)))
-    own = (F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2"))
-    tasks = materialise(tasks.where(~own | (F.col("i") <= F.col("j"))).select("label", "x", "y", "i", "x2", "y2", "j"), "tile-pairs")
-    tiled = placed.join(sizes, ["label", "x", "y"]).withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).drop("tiles")
-    left = tasks.join(tiled.withColumnRenamed("t", "i"), ["label", "x", "y", "i"]).select("label", "x", "y", "i", "x2", "y2", "j", "rep", "mult", "v", F.lit(0).alias("side"))
-    right = tasks.where(~own | (F.col("i") != F.col("j"))).join(tiled.select("label", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("t").alias("j"), "rep", "mult", "v"), ["label", "x2", "y2", "j"]).select("label", "x", "y", "i", "x2", "y2", "j", "rep", "mult", "v", F.lit(1).alias("side"))
+                y = _unit(pdf["v"].tolist(), dim) @ axes[:, :AXES]
+                y = np.pad(y, ((0, 0), (0, AXES - y.shape[1])))
+                yield pdf.assign(y=list(y), g=list(np.floor(y / width).astype(np.int64)))
+
+    placed = materialise(classes.select("label", "rep", "mult", "v").mapInPandas(cells, f"label {label}, rep long, mult long, v binary, y array<double>, g array<long>"), "cells")
+    # the shortest beginning of a grid place that holds few enough vectors is its cell
+    cell = lambda n: F.array_join(F.slice("g", 1, n), ",")
+    places = materialise(placed.groupBy("label", "g").agg(F.count("*").alias("n")), "places")
+    every = places.withColumn("depth", F.explode(F.sequence(F.lit(GRID), F.lit(AXES)))).withColumn("c", cell(F.col("depth")))
+    few = every.groupBy("label", "depth", "c").agg(F.sum("n").alias("total"))
+    fits = every.join(few, ["label", "depth", "c"]).groupBy("label", "g").agg(F.min(F.when(F.col("total") <= TILE, F.col("depth"))).alias("depth"))
+    places = places.join(fits, ["label", "g"]).select("label", "g", "n", cell(F.coalesce("depth", F.lit(AXES))).alias("c"))
+    places = materialise(places, "place-cells")
+    tiles = places.groupBy("label", "c").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"))
+    tiled = placed.join(places.select("label", "g", "c"), ["label", "g"]).join(tiles, ["label", "c"])
+    tiled = materialise(tiled.withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).drop("tiles"), "tiles")
+    box = lambda f: F.array(*[f(F.col("y")[k]) for k in range(AXES)])
+    boxes = tiled.groupBy("label", "c", "t").agg(box(F.min).alias("lo"), box(F.max).alias("hi"), F.slice(F.first("g"), 1, GRID).alias("g"))
+    boxes = materialise(boxes, "boxes")
+    # pairs of tiles in neighbouring grid places, each once
+    half = [d for d in itertools.product((-1, 0, 1), repeat=GRID) if d >= (0,) * GRID]
+    steps = F.explode(F.array(*[F.array(*[F.lit(x).cast("long") for x in d]) for d in half]))
+    one = boxes.withColumn("st", steps).withColumn("g2", F.zip_with("g", "st", lambda x, y: x + y))
+    two = boxes.select("label", F.col("c").alias("c2"), F.col("t").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("g").alias("g2"))
+    gap = F.aggregate(F.sequence(F.lit(0), F.lit(AXES - 1)), F.lit(0.0), lambda s, k: s + F.pow(F.greatest(F.lit(0.0), F.get("lo2", k) - F.get("hi", k), F.get("lo", k) - F.get("hi2", k)), F.lit(2.0)))
+    tasks = one.join(two, ["label", "g2"]).where(gap <= width * width)
+    once = (F.col("c") < F.col("c2")) | ((F.col("c") == F.col("c2")) & (F.col("t") <= F.col("j")))
+    tasks = tasks.where(once | F.exists("st", lambda x: x != 0)).select("label", "c", F.col("t").alias("i"), "c2", "j")
+    tasks = materialise(tasks, "tile-pairs")
+    own = (F.col("c") == F.col("c2")) & (F.col("i") == F.col("j"))
+    left = tasks.join(tiled.withColumnRenamed("t", "i"), ["label", "c", "i"]).select("label", "c", "i", "c2", "j", "rep", "mult", "v", F.lit(0).alias("side"))
+    right = tasks.where(~own).join(tiled.select("label", F.col("c").alias("c2"), F.col("t").alias("j"), "rep", "mult", "v"), ["label", "c2", "j"]).select("label", "c", "i", "c2", "j", "rep", "mult", "v", F.lit(1).alias("side"))
 
     def compare(pdf):
         l, r = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        same = not len(r) and (pdf.x.iloc[0], pdf.y.iloc[0], pdf.i.iloc[0]) == (pdf.x2.iloc[0], pdf.y2.iloc[0], pdf.j.iloc[0])
+        same = not len(r) and (pdf.c.iloc[0], pdf.i.iloc[0]) == (pdf.c2.iloc[0], pdf.j.iloc[0])
         r = l if same else r
         out = {"node": np.array([], np.int64), "links": np.array([], np.int64), "root": np.array([], np.int64)}
         if len(l) and len(r):
@@ -163,16 +185,27 @@ def near_vectors(table: DataFrame, least: float = 0.98, id_col: str = "vec_id",
             out = {"node": node, "links": np.array([links[x] for x in node.tolist()], np.int64), "root": root}
         return pd.DataFrame(out)
 
-    keys = ["label", "x", "y", "i", "x2", "y2", "j"]
+    keys = ["label", "c", "i", "c2", "j"]
     found = materialise(left.unionByName(right).groupBy(*keys).applyInPandas(compare, "node long, links long, root long"), "links")
     comp = components(found.where("node <> root"), "node", "root").select(F.col("node").alias("rep"), F.col("component").alias("c"))
     sums = found.groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("l"))
     per = classes.select("label", "k1", "k2", "rep", "mult").join(sums, "rep", "left").join(comp, "rep", "left")
     per = per.select("label", "k1", "k2", (F.coalesce("l", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("c", "rep").alias("c"))
-    mine = keyed.join(per, ["label", "k1", "k2"]).select("vec_id", "n_links", "c")
+    mine = salted_join(keyed.drop("v"), per, ["label", "k1", "k2"], columns=["vec_id"], hot=hot_counted(classes, ["label", "k1", "k2"], "mult")).select("vec_id", "n_links", "c")
     alone = rows.where(~F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable("embedding") & F.exists("embedding", lambda x: x != 0), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("c"))
     return mine.unionByName(alone).select("vec_id", "n_links", F.col("c").alias("component_id"), (F.col("vec_id") == F.col("c")).alias("kept"))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: The same in SQL for DuckDB.
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT CAST(count(*) AS BIGINT) FROM links WHERE links.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.a = vec_id
+"""
