@@ -88,7 +88,7 @@ def judge_urls(pages: DataFrame, rules: dict[str, str] | None = None, id_col: st
     p = p.withColumn("good", good)
     sites = p.groupBy("host", "path").agg(F.first("good").alias("good"), F.count("*").alias("pages"))
     sites = materialise(sites.withColumn("site", F.monotonically_increasing_id()), "sites")
-    unseen = F.crc32(F.concat("host", "path")) % 5 == 0
+    unseen = F.conv(F.substr(F.md5(F.concat("host", "path")), F.lit(1), F.lit(6)), 16, 10).cast("int") % 5 == 0
     n, c = char_models(sites.where(F.col("good").isNotNull() & ~unseen))
     judged = sites.where(F.col("good").isNull() | unseen)
     mine = materialise(grams(judged, "site"), "site-grams")
@@ -104,4 +104,34 @@ def judge_urls(pages: DataFrame, rules: dict[str, str] | None = None, id_col: st
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")).drop("score")
+
+
+def _chance(n: str, c: str, t: str) -> str:
+    """The mixed chance as SQL, from columns of all orders."""
+    out = "(1.0 / 256)"
+    for k in range(ORDER + 1):
+        out = f"(CASE WHEN coalesce({c}{k}, 0) > 0 THEN (coalesce({n}{k}, 0) + {t}{k} * {out}) / CAST({c}{k} + {t}{k} AS DOUBLE) ELSE {out} END)"
+    return out
+
+
+_K = range(ORDER + 1)
+#: The same in SQL for DuckDB.
+OP6_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^([^/?#]*)', 1) AS raw FROM u),
+p AS (SELECT page_id, translate(raw, '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1) AS path FROM h),
+r AS (SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/' WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
+s AS (SELECT host, path, CASE any_value(rule) WHEN 'net/' THEN 0 WHEN 'example.com/de/' THEN 0 WHEN 'example.net/en/' THEN 1 WHEN 'org/fr/' THEN 1 END AS good, CAST('0x' || substr(md5(host || path), 1, 6) AS INT) % 5 = 0 AS unseen FROM r GROUP BY host, path),
+g AS (SELECT host, path, good, unseen, substr('{"^" * ORDER}' || host || path || '$', i, {ORDER + 1}) AS g FROM (SELECT *, unnest(range(1, length(host) + length(path) + 2)) AS i FROM s)),
+n AS (SELECT substr(g, {ORDER + 1} - k) AS gram, k, sum(good) AS na, sum(1 - good) AS nr FROM g, range({ORDER + 1}) t(k) WHERE good IS NOT NULL AND NOT unseen GROUP BY 1, 2),
+c AS (SELECT left(gram, k) AS ctx, k, sum(na) AS ca, sum(nr) AS cr, count(*) FILTER (WHERE na > 0) AS ta, count(*) FILTER (WHERE nr > 0) AS tr FROM n GROUP BY 1, 2),
+w AS (SELECT DISTINCT g FROM g WHERE good IS NULL OR unseen),
+j AS (SELECT g, {", ".join(f"max(CASE WHEN k = {k} THEN {x} END) AS {x}{k}" for k in _K for x in ("na", "nr", "ca", "cr", "ta", "tr"))}
+  FROM (SELECT w.g, t.k, n.na, n.nr, c.ca, c.cr, c.ta, c.tr FROM w CROSS JOIN range({ORDER + 1}) t(k) LEFT JOIN n ON n.gram = substr(w.g, {ORDER + 1} - t.k) AND n.k = t.k LEFT JOIN c ON c.ctx = left(substr(w.g, {ORDER + 1} - t.k), t.k) AND c.k = t.k) GROUP BY g),
+o AS (SELECT g, ln({_chance("na", "ca", "ta")}) - ln({_chance("nr", "cr", "tr")}) AS s FROM j),
+m AS (SELECT host, path, any_value(good) AS good, avg(s) AS score FROM g JOIN o USING (g) WHERE good IS NULL OR unseen GROUP BY host, path),
+t AS (SELECT CASE WHEN count(DISTINCT good) = 2 THEN (avg(score) FILTER (WHERE good = 0) + avg(score) FILTER (WHERE good = 1)) / 2 ELSE '-inf'::DOUBLE END AS threshold FROM m WHERE good IS NOT NULL)
+SELECT page_id, r.host, r.path, rule, CASE WHEN s.good = 1 THEN 'allow' WHEN s.good = 0 THEN 'block' WHEN score >= threshold THEN 'allow' ELSE 'block' END AS verdict
+FROM r JOIN s ON s.host = r.host AND s.path = r.path LEFT JOIN m ON m.host = r.host AND m.path = r.path CROSS JOIN t
+"""
