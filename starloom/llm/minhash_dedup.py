@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.common import components, materialise, ship, slices
+from starloom.llm.common import components, hot_counted, hot_keys, materialise, salted_join, ship, slices
 
 K, T, WORDS = 64, 35, 5
 TILE, SHORT, GROUP = 2048, 256, 4096
-SKETCH, SIGMAS = 256, 4.3
+#: Smallest hashes of a set that a posting carries. Sets of no more are compared whole; a pair with a longer one is dropped only where the
+#: common ones are this many standard deviations below what the threshold gives (1e-9 of the links at the threshold, none well above it).
+SKETCH, SIGMAS = 512, 6.0
 #: Entries of a worker's memo of word hashes.
 MEMO = 400_000
 
@@ -211,14 +213,15 @@ class Linker:
         self.profiles = materialise(self.docs.mapInArrow(_profiles, "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>"), "profiles")
         full = self.profiles.where("n_shingles > 0 AND doc_id IS NOT NULL")
         self.repeated = materialise(full.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-        self.classes = materialise(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+        self.classes = materialise(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.count("*").alias("n")), "classes")
 
     def postings(self) -> tuple[DataFrame, DataFrame]:
         """(rep, token) and (rep, pre): the prefixes of classes that can have a partner."""
         tokens = self.classes.select("rep", F.posexplode("sig").alias("k", "v"))
         tokens = tokens.select("rep", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token"))
-        shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-        mine = tokens.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("all"))
+        shared = materialise(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+        # a frequent token's rows are salted wherever they look something up
+        mine = salted_join(tokens, shared, ["token"], columns=["rep"], hot=hot_counted(shared, ["token"], "n")).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("all"))
         pre = mine.where(F.size("all") >= T).select("rep", F.slice(F.col("all.token"), 1, F.size("all") - T + 1).alias("pre"))
         pre = materialise(pre, "prefixes")
         return pre.select("rep", F.explode("pre").alias("token")), pre
@@ -245,18 +248,18 @@ class Linker:
         x = x.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
         return materialise(x.mapInArrow(_confirm(self.percent), "a long, b long"), "links")
 
-    def labelled(self, posts: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def labelled(self, posts: DataFrame, links: DataFrame, hot: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """Postings with components, of lists that hold several."""
         comp = materialise(components(links).select(F.col("node").alias("rep"), F.col("component").alias("c")), "components")
         p = posts.join(comp, "rep", "left").select("rep", "token", F.coalesce("c", "rep").alias("c"))
         open_ = p.groupBy("token").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token", "n")
-        return comp, materialise(p.join(open_, "token"), "open")
+        return comp, materialise(salted_join(p, open_, ["token"], columns=["rep"], hot=hot), "open")
 
-    def star(self, posts: DataFrame, seed: int | None) -> DataFrame:
+    def star(self, posts: DataFrame, seed: int | None, hot: DataFrame | None) -> DataFrame:
         order = F.col("rep") if seed is None else F.struct(F.xxhash64("rep", F.lit(seed)).alias("o"), F.col("rep").alias("rep"))
         centre = posts.groupBy("token").agg(F.min(order).alias("m"))
         centre = centre.select("token", (F.col("m") if seed is None else F.col("m.rep")).alias("centre"))
-        return posts.join(centre, "token").where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
+        return salted_join(posts, centre, ["token"], columns=["rep"], hot=hot).where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
 
     def rest(self, open_: DataFrame, prefixes: DataFrame) -> DataFrame:
         """Matches between components: short lists many at a time, long ones in pairs of tiles."""
@@ -277,12 +280,13 @@ class Linker:
     def components(self) -> DataFrame:
         """(rep, c): classes with links and their component."""
         posts, prefixes = self.postings()
-        links = self.confirmed(self.matched(self.star(posts, None)))
-        comp, open_ = self.labelled(posts, links)
+        hot = hot_keys(posts, ["token"])
+        links = self.confirmed(self.matched(self.star(posts, None, hot)))
+        comp, open_ = self.labelled(posts, links, hot)
         if open_.isEmpty():
             return comp
-        links = links.unionByName(self.confirmed(self.matched(self.star(open_, 1).join(links, ["a", "b"], "left_anti"))))
-        comp, open_ = self.labelled(posts, links)
+        links = links.unionByName(self.confirmed(self.matched(self.star(open_, 1, hot).join(links, ["a", "b"], "left_anti"))))
+        comp, open_ = self.labelled(posts, links, hot)
         if open_.isEmpty():
             return comp
         links = links.unionByName(self.confirmed(self.rest(open_, prefixes).distinct()))
@@ -295,7 +299,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     Documents are linked where 100 * common >= ``percent`` * united shingles;
     the component is the smallest id reachable. Null and empty texts have an
     empty set and link with nothing; null ids link with nothing and have a null
-    component. Equal rows are equal sets of one id. Rows of one id with
+    component. Texts are read whole, however long; other columns are not read.
+    Equal rows are equal sets of one id. Rows of one id with
     different texts are one node, whose links are those of either set that
     stands for its class. ``percent`` below 75 is refused, T is fitted to it.
     """
@@ -304,10 +309,27 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     x = Linker(docs, percent, id_col, text_col)
     comp = x.components()
     classes = x.classes.select("k1", "k2", "rep").join(comp, "rep", "left").select("k1", "k2", F.coalesce("c", "rep").alias("c"))
-    out = x.profiles.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
+    # a large group of equal sets is one class with many rows
+    out = salted_join(x.profiles.select("doc_id", "n_shingles", "k1", "k2"), classes, ["k1", "k2"], "left", columns=["doc_id"], hot=hot_counted(x.classes, ["k1", "k2"], "n"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same in SQL for DuckDB, by exact sets.
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM w),
+n AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY doc_id),
+k AS (SELECT g, dense_rank() OVER (ORDER BY g) AS g_no FROM (SELECT g FROM s GROUP BY g HAVING count(*) > 1)),
+t AS (SELECT doc_id, g_no FROM s JOIN k USING (g)),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM t a JOIN t b ON a.g_no = b.g_no AND a.doc_id < b.doc_id GROUP BY ALL),
+half AS (SELECT a, b FROM x JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN c ON c.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""

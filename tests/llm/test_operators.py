@@ -137,6 +137,56 @@ def test_topk(spark):
     assert pivot_index.top_k(df.where("false")).count() == 0
 
 
+def clustered(spark, dim=64, n=900):
+    """Vectors of ``dim`` dimensions: clusters, copies within 0.98 of each other, equal ones, clashing columns."""
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(12, dim))
+    v = centres[r.integers(0, 12, n)] + 0.6 * r.normal(size=(n, dim))
+    v[300:420] = v[r.integers(0, 60, 120)] + 0.08 * r.normal(size=(120, dim))
+    v[420:440] = v[3]
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).astype("float32")
+    rows = [(i, [float(x) for x in a], i % 2, "a", 1, i) for i, a in enumerate(v)]
+    return v.astype(float), spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, v string, block int, g long").repartition(5)
+
+
+def test_topk_in_blocks(spark, monkeypatch):
+    """64 dimensions, several blocks of queries and of vectors an annulus; clusters let the bounds skip pairs."""
+    v, df = clustered(spark)
+    w = np.floor(1024 * v).astype(np.int64)
+    monkeypatch.setattr(pivot_index, "BLOCK", 16)
+    monkeypatch.setattr(pivot_index, "QUERIES", 3)
+    rows = df.select("vec_id", pivot_index.whole_numbers("embedding").alias("v"))
+    index = pivot_index.PivotIndex(rows)
+    q = rows.where("vec_id % 30 = 0").select(pivot_index.F.col("vec_id").alias("query_id"), pivot_index.F.col("v").alias("q"))
+    got = collections.defaultdict(list)
+    for r in index.search(q, 10).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert set(got) == set(range(0, 900, 30))
+    for i in got:
+        assert got[i] == sorted(((j, int(w[i] @ w[j])) for j in range(900) if j != i), key=lambda p: (-p[1], p[0]))[:10]
+    assert 0 < index.compared(30) < 1
+    few = {r.query_id for r in pivot_index.top_k(df.where("vec_id < 4"), every=2).collect()}
+    assert few == {0, 2}
+
+
+def test_near_vectors_in_tiles(spark, monkeypatch):
+    """64 dimensions, so that suffix norms stop pairs; many tiles, cells cut along further axes."""
+    v, df = clustered(spark)
+    monkeypatch.setattr(embedding_dedup, "TILE", 8)
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    link = (u @ u.T >= 0.98) & (np.arange(900)[:, None] % 2 == np.arange(900)[None, :] % 2)
+    np.fill_diagonal(link, False)
+    root = np.arange(900)
+    while True:
+        new = np.minimum(root, np.array([root[x].min() if x.any() else 900 for x in link]))
+        if (new == root).all():
+            break
+        root = new
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(df).collect()}
+    assert got == {i: (int(link[i].sum()), int(root[i]), bool(root[i] == i)) for i in range(900)}
+    assert link.sum() > 300
+
+
 def test_near_vectors(spark):
     rows, df = vectors(spark)
     rows, df = rows[:-1], df.where("NOT (vec_id = 200 AND label = 2 AND embedding[0] = 0)").dropDuplicates(["vec_id"])
