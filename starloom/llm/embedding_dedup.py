@@ -3,8 +3,9 @@
 Unit vectors are turned to their principal axes, fitted on a bounded sample
 (a rotation, so it changes no cosine). Two vectors with a cosine of at least c
 are at most sqrt(2 - 2c) apart, in every axis too: a label's vectors are laid on
-a grid of that width over the three leading axes, and a cell of over ``TILE``
-vectors is cut again along the next axis, up to ``AXES`` of them. Cells and their
+a grid of that width over the leading axis, or up to three where labels are
+large, and a cell of over ``TILE`` vectors is cut again along the next axis, up
+to ``AXES`` of them. Cells and their
 tiles of at most ``TILE`` vectors are paired only if they are neighbours on the
 grid and the boxes around their vectors, over all these axes, are near enough;
 that is decided before any vector is copied. In a pair of tiles products are
@@ -34,7 +35,7 @@ TILE = 1024
 SAMPLE = 4096
 #: Ends of the groups of dimensions that are summed in turn.
 STEPS = (16, 32)
-#: Axes that cells may be cut along and boxes are held over, and those of the grid that every cell is on.
+#: Axes that cells may be cut along and boxes are held over, and the most of the grid that every cell is on.
 AXES, GRID = 8, 3
 
 
@@ -136,10 +137,13 @@ def near_vectors(table: DataFrame, least: float = 0.98, id_col: str = "vec_id",
                 yield pdf.assign(y=list(y), g=list(np.floor(y / width).astype(np.int64)))
 
     placed = materialise(classes.select("label", "rep", "mult", "v").mapInPandas(cells, f"label {label}, rep long, mult long, v binary, y array<double>, g array<long>"), "cells")
+    # a larger label has more cells, which find their neighbours on a grid of more axes
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    grid = next((n for n in range(1, GRID) if largest <= TILE * 8 ** (n + 1)), GRID)
     # the shortest beginning of a grid place that holds few enough vectors is its cell
     cell = lambda n: F.array_join(F.slice("g", 1, n), ",")
     places = materialise(placed.groupBy("label", "g").agg(F.count("*").alias("n")), "places")
-    every = places.withColumn("depth", F.explode(F.sequence(F.lit(GRID), F.lit(AXES)))).withColumn("c", cell(F.col("depth")))
+    every = places.withColumn("depth", F.explode(F.sequence(F.lit(grid), F.lit(AXES)))).withColumn("c", cell(F.col("depth")))
     few = every.groupBy("label", "depth", "c").agg(F.sum("n").alias("total"))
     fits = every.join(few, ["label", "depth", "c"]).groupBy("label", "g").agg(F.min(F.when(F.col("total") <= TILE, F.col("depth"))).alias("depth"))
     places = places.join(fits, ["label", "g"]).select("label", "g", "n", cell(F.coalesce("depth", F.lit(AXES))).alias("c"))
@@ -148,10 +152,10 @@ def near_vectors(table: DataFrame, least: float = 0.98, id_col: str = "vec_id",
     tiled = placed.join(places.select("label", "g", "c"), ["label", "g"]).join(tiles, ["label", "c"])
     tiled = materialise(tiled.withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).drop("tiles"), "tiles")
     box = lambda f: F.array(*[f(F.col("y")[k]) for k in range(AXES)])
-    boxes = tiled.groupBy("label", "c", "t").agg(box(F.min).alias("lo"), box(F.max).alias("hi"), F.slice(F.first("g"), 1, GRID).alias("g"))
+    boxes = tiled.groupBy("label", "c", "t").agg(box(F.min).alias("lo"), box(F.max).alias("hi"), F.slice(F.first("g"), 1, grid).alias("g"))
     boxes = materialise(boxes, "boxes")
     # pairs of tiles in neighbouring grid places, each once
-    half = [d for d in itertools.product((-1, 0, 1), repeat=GRID) if d >= (0,) * GRID]
+    half = [d for d in itertools.product((-1, 0, 1), repeat=grid) if d >= (0,) * grid]
     steps = F.explode(F.array(*[F.array(*[F.lit(x).cast("long") for x in d]) for d in half]))
     one = boxes.withColumn("st", steps).withColumn("g2", F.zip_with("g", "st", lambda x, y: x + y))
     two = boxes.select("label", F.col("c").alias("c2"), F.col("t").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("g").alias("g2"))
