@@ -230,10 +230,17 @@ class Linker:
         """Pairs with at least T equal coordinates."""
         pairs = materialise(pairs.distinct(), "candidates")
         sig = self.classes.select("rep", "sig").join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi")
-        got = pairs.join(sig.toDF("a", "ga"), "a").join(sig.toDF("b", "gb"), "b")
+        sig = materialise(sig, "pair-signatures")
+        got = self.both(pairs, sig, "sig", "ga", "gb")
         equal = F.aggregate(F.zip_with("ga", "gb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         return got.where(equal >= T).select("a", "b")
 
+    @staticmethod
+    def both(pairs: DataFrame, table: DataFrame, value: str, left: str, right: str) -> DataFrame:
+        """Pairs with a value of each end; the centre of many pairs is salted."""
+        x = salted_join(pairs, table.select(F.col("rep").alias("a"), F.col(value).alias(left)), ["a"], columns=["b"], hot=hot_keys(pairs, ["a"]))
+        return salted_join(x, table.select(F.col("rep").alias("b"), F.col(value).alias(right)), ["b"], columns=["a"], hot=hot_keys(pairs, ["b"]))
+
     def once(self, rows: DataFrame, key: str) -> DataFrame:
         """Each text of an id once; only ids that documents repeat are shuffled."""
         many = self.repeated.select(F.col("doc_id").alias(key))
@@ -244,8 +251,7 @@ class Linker:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         sets = self.once(self.docs.join(ids, "doc_id", "left_semi"), "doc_id").mapInArrow(_full_sets, "doc_id long, s binary")
         sets = materialise(sets.where("length(s) > 0"), "sets")
-        x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
-        x = x.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+        x = self.both(pairs, sets.withColumnRenamed("doc_id", "rep"), "s", "sa", "sb")
         return materialise(x.mapInArrow(_confirm(self.percent), "a long, b long"), "links")
 
     def labelled(self, posts: DataFrame, links: DataFrame, hot: DataFrame | None) -> tuple[DataFrame, DataFrame]:
