@@ -238,8 +238,12 @@ class Linker:
     @staticmethod
     def both(pairs: DataFrame, table: DataFrame, value: str, left: str, right: str) -> DataFrame:
         """Pairs with a value of each end; the centre of many pairs is salted."""
-        x = salted_join(pairs, table.select(F.col("rep").alias("a"), F.col(value).alias(left)), ["a"], columns=["b"], hot=hot_keys(pairs, ["a"]))
-        return salted_join(x, table.select(F.col("rep").alias("b"), F.col(value).alias(right)), ["b"], columns=["a"], hot=hot_keys(pairs, ["b"]))
+        hot = hot_keys(pairs.select(F.explode(F.array("a", "b")).alias("rep")), ["rep"])
+        x = pairs
+        for end, other, name in (("a", "b", left), ("b", "a", right)):
+            mine = table.select(F.col("rep").alias(end), F.col(value).alias(name))
+            x = salted_join(x, mine, [end], columns=[other], hot=None if hot is None else hot.withColumnRenamed("rep", end))
+        return x
 
     def once(self, rows: DataFrame, key: str) -> DataFrame:
         """Each text of an id once; only ids that documents repeat are shuffled."""
