@@ -173,10 +173,10 @@ def pure_equality(sql: str, column: str) -> str | None:
     return m[1].replace("''", "'") if m else None
 
 
-#: What the answer of each step must hold: keys that must be there, keys of which one must be filled, and types (fixed values).
+#: What the answer of each step must hold: keys that must be there, keys of which one must be filled, and keys of texts (fixed values; the steps are named here).
 STEPS = {
     "entity_extraction": (("question",), (), ("question", "error", "raw_content")),
-    "text2sql": ((), ("sql_query", "error"), ("result_entity", "sql_query", "justification", "answer", "error", "raw_content")),
+    "question_to_sql": ((), ("sql_query", "error"), ("result_entity", "sql_query", "justification", "answer", "error", "raw_content")),
     "complex_question": ((), ("question", "error"), ("question", "justification", "answer", "error", "raw_content")),
 }
 

@@ -517,7 +517,7 @@ def _(t):
     raise AssertionError("an unresolved text was run")
 
 
-_FAULTS = [("text2sql", '{"sql_query": "SELECT 1"}', True), ("text2sql", '{"sql_query": ""}', False), ("text2sql", '{"error": "no idea"}', True), ("text2sql", '{"sql_query": 7}', False), ("text2sql", '{"answer": "x"}', False), ("entity_extraction", '{"question": "q"}', True), ("entity_extraction", '{"Person_name1": "x"}', False), ("entity_extraction", "[1]", False), ("complex_question", '{"question": "q", "answer": 5}', False), ("unknown_step", "[]", True)]
+_FAULTS = [("question_to_sql", '{"sql_query": "SELECT 1"}', True), ("question_to_sql", '{"sql_query": ""}', False), ("question_to_sql", '{"error": "no idea"}', True), ("question_to_sql", '{"sql_query": 7}', False), ("question_to_sql", '{"answer": "x"}', False), ("entity_extraction", '{"question": "q"}', True), ("entity_extraction", '{"Person_name1": "x"}', False), ("entity_extraction", "[1]", False), ("complex_question", '{"question": "q", "answer": 5}', False), ("unknown_step", "[]", True)]
 
 
 @query("json_guard", f"SELECT * FROM (VALUES {values(_FAULTS)}) v(step, payload, ok)")
