@@ -29,6 +29,8 @@ SAMPLE = 4000
 SHARE, LEAST = 0.2, 3
 #: Languages of one machine word.
 WORD = 64
+#: Bytes of text that a worker looks at together, so that its arrays stay small; a longer text is looked at whole.
+SLICE = 1_000_000
 
 
 @lru_cache(maxsize=1)
@@ -86,7 +88,7 @@ def _counts(batches):
 
 def _with_offsets(whole):
     at = 0
-    for b in slices(whole):
+    for b in slices(whole, SLICE):
         yield b, at
         at += b.num_rows
 
@@ -168,7 +170,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, SLICE):
                 names, scores = shared.value.predict([t or "" for t in b.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *b.columns[2:]], names=["doc_id", "lang_pred", "score", *b.schema.names[2:]])
 
