@@ -14,6 +14,7 @@ from starloom.functions import matching, text
 from starloom.operators import assertions, cache, etl, questions, relational as rel, resolve as res, views
 from starloom.plans import dialect, engine
 from starloom.plans.registry import QUERIES, SQL, query
+from starloom.session import written
 
 def queries() -> dict:
     return dict(QUERIES)
@@ -376,7 +377,7 @@ def _(t):
 @query("entity_resolution")
 def _(t):
     asked = t.supplier.select(F.concat(F.regexp_replace("s_name", "l", ""), F.lit("")).alias("m"))
-    return res.resolve(res.mentions(asked, "m"), res.with_keys(t.supplier, "s_suppkey", "s_name", "s_acctbal"))
+    return res.resolve(res.mentions(asked, "m"), written(res.with_keys(t.supplier, "s_suppkey", "s_name", "s_acctbal"), "names")[0])
 
 
 @query("closed_vocabulary")
