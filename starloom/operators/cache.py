@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.operators.relational import first_by
+from starloom.session import discard, written
 
 
 def question_hash(x: Column | str) -> Column:
@@ -63,20 +62,45 @@ def semantic_hits(near: DataFrame, asked_names: str, cached_names: str, most: fl
 
 
 def pruned_tree(categories: DataFrame, leaves: DataFrame, id_col: str = "id", parent: str = "id_parent") -> DataFrame:
-    """Categories that hold a leaf somewhere below: (id, depth); walks down with a recursive query, then keeps ancestors of used ones.
-
-    Spark ends a recursion beyond 100 levels or 1,000,000 rows, unless its
-    settings allow more.
+    """Categories that hold a leaf somewhere below, and can be reached from one without parent: (id, depth).
+
+    ``up`` holds each category with what stands 2^n steps above it. A round adds
+    to the used categories what stands so far above them, to the depths those of
+    categories so far below, and doubles the steps: as many rounds as a depth
+    has binary digits, at any number of rows. A category below several parents
+    has every depth at which it is reached; a cycle below a root ends with an
+    error, as its depths have no end.
     """
-    spark, tag = categories.sparkSession, uuid.uuid4().hex
-    categories.select(F.col(id_col).alias("id"), F.col(parent).alias("parent")).createOrReplaceTempView(f"categories_{tag}")
-    leaves.select(F.col(leaves.columns[0]).alias("id")).distinct().createOrReplaceTempView(f"used_{tag}")
-    return spark.sql(f"""
-        WITH RECURSIVE down(id, top, depth) AS (SELECT id, id, 0 FROM categories_{tag} WHERE parent IS NULL
-          UNION ALL SELECT c.id, d.top, d.depth + 1 FROM categories_{tag} c JOIN down d ON c.parent = d.id),
-        up(id, parent) AS (SELECT c.id, c.parent FROM categories_{tag} c JOIN used_{tag} u ON c.id = u.id
-          UNION ALL SELECT c.id, c.parent FROM categories_{tag} c JOIN up u ON u.parent = c.id)
-        SELECT DISTINCT d.id, d.depth FROM down d JOIN up USING (id)""")
+    spark = categories.sparkSession
+    rows = categories.select(F.col(id_col).alias("id"), F.col(parent).alias("above"))
+    count = rows.count()
+    kept: dict[str, tuple[DataFrame, str]] = {}
+
+    def keep(name: str, df: DataFrame) -> int:
+        old = kept.get(name)
+        kept[name] = written(df, name)
+        if old:
+            discard(spark, old[1])
+        return kept[name][0].count()
+
+    ids = rows.select("id").distinct()
+    keep("up", rows.join(ids.withColumnRenamed("id", "above"), "above", "left_semi").distinct())
+    used = keep("used", leaves.select(F.col(leaves.columns[0]).alias("id")).distinct().join(ids, "id", "left_semi"))
+    reached = keep("depths", rows.where("above IS NULL").select("id", F.lit(0).alias("depth")).distinct())
+    steps = 1
+    while True:
+        up, marks, depths = (kept[n][0] for n in ("up", "used", "depths"))
+        above = up.join(marks, "id").select(F.col("above").alias("id"))
+        below = up.join(depths.withColumnRenamed("id", "above"), "above").select("id", (F.col("depth") + steps).alias("depth"))
+        more_used, more_reached = keep("used", marks.unionByName(above).distinct()), keep("depths", depths.unionByName(below).distinct())
+        if (more_used, more_reached) == (used, reached):
+            break
+        used, reached, steps = more_used, more_reached, steps * 2
+        if steps > 2 * count:
+            raise ValueError("a category stands above itself and below a root, so its depths have no end")
+        keep("up", up.join(up.select(F.col("id").alias("above"), F.col("above").alias("higher")), "above").select("id", F.col("higher").alias("above")).distinct())
+    discard(spark, kept["up"][1])
+    return kept["depths"][0].join(kept["used"][0], "id")
 
 
 def same_side(cache: DataFrame) -> Column:
